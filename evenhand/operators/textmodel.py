@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
+    CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
     NGram,
@@ -14,7 +17,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +51,8 @@ def vocabulary(
     )
 
 
-def smoothed_idf(df: int, n_docs: int):
-    return F.ln((F.lit(n_docs) + 1) / (F.col(df) + 1)) + 1
+def smoothed_idf(df: str, n_docs: Column) -> Column:
+    return F.ln((n_docs + 1) / (F.col(df) + 1)) + 1
 
 
 def feature_stages(
@@ -60,13 +63,17 @@ def feature_stages(
     n_docs = train.count()
     terms = (
         vocabulary(train, text, max_features)
-        .select("term", smoothed_idf("df", n_docs).alias("idf"))
-        .collect()
-    )
-    terms.sort(key=lambda row: row["term"])
-    counter = CountVectorizerModel.from_vocabulary(
-        [row["term"] for row in terms], inputCol="__terms", outputCol="__counts"
+        .select("term", smoothed_idf("df", F.lit(n_docs)).alias("idf"))
+        .persist()
     )
+    # Every term of the table occurs once, so fitting keeps exactly these terms; a list
+    # handed over from Python would cross the gateway term by term.
+    counter = CountVectorizer(
+        vocabSize=max_features, inputCol="__terms", outputCol="__counts"
+    ).fit(terms.select(F.array("term").alias("__terms")))
+    table = terms.toArrow()
+    terms.unpersist()
+    weights = dict(zip(table["term"].to_pylist(), table["idf"].to_pylist()))
     return [
         RegexTokenizer(
             inputCol=text,
@@ -79,7 +86,7 @@ def feature_stages(
         SQLTransformer(statement="SELECT *, concat(__words, __bigrams) AS __terms FROM __THIS__"),
         counter,
         ElementwiseProduct(
-            scalingVec=Vectors.dense([row["idf"] for row in terms]),
+            scalingVec=Vectors.dense([weights[term] for term in counter.vocabulary]),
             inputCol="__counts",
             outputCol="__weighted",
         ),
@@ -91,23 +98,90 @@ def feature_stages(
     ]
 
 
-def ridge(label: str, alpha: float, n_rows: int, label_std: float) -> LinearRegression:
-    """Least squares plus alpha times the squared norm, with a free intercept.
-
-    The library divides the loss by 2n and scales the label by its deviation, so the
-    penalty is rescaled to give the same minimum.
+def ridge(
+    rows: DataFrame,
+    n_features: int,
+    alpha: float = fv.RIDGE_ALPHA,
+    tolerance: float = 1e-7,
+    max_iterations: int = 1_000,
+) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of least squares plus alpha times the squared norm.
+
+    ``rows`` holds (indices, values, label). The centred normal equations are solved by
+    conjugate gradients: each step is one pass over the rows that multiplies by the matrix
+    and its transpose inside the tasks and adds the partial vectors by feature in a shuffle.
+    Only vectors of ``n_features`` numbers reach the driver. (LinearRegression works on
+    scaled features, where many rare terms make the same problem so badly conditioned that
+    it is far from the minimum after hundreds of steps.)
     """
-    return LinearRegression(
-        featuresCol="features",
-        labelCol=label,
-        predictionCol="prediction",
-        solver="l-bfgs",
-        elasticNetParam=0.0,
-        standardization=False,
-        regParam=alpha / n_rows * label_std,
-        maxIter=500,
-        tol=1e-10,
+
+    def transposed_product(direction: np.ndarray | None) -> np.ndarray:
+        """X'(X direction); without a direction X'1 and X'label."""
+
+        def partial(batches):
+            totals = np.zeros((2, n_features))
+            for batch in batches:
+                lists = batch.column(0)
+                lengths = np.diff(lists.offsets.to_numpy())
+                indices = lists.flatten().to_numpy()
+                values = batch.column(1).flatten().to_numpy()
+                if direction is None:
+                    multipliers = [np.ones(len(lengths)), batch.column(2).to_numpy()]
+                else:
+                    row = np.repeat(np.arange(len(lengths)), lengths)
+                    multipliers = [
+                        np.bincount(row, values * direction[indices], minlength=len(lengths))
+                    ]
+                for total, multiplier in zip(totals, multipliers):
+                    total += np.bincount(
+                        indices, values * np.repeat(multiplier, lengths), minlength=n_features
+                    )
+            used = np.flatnonzero(totals.any(axis=0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used), pa.array(totals[0, used]), pa.array(totals[1, used])],
+                names=["feature", "first", "second"],
+            )
+
+        sums = (
+            rows.mapInArrow(partial, "feature long, first double, second double")
+            .groupBy("feature")
+            .agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
+            .toArrow()
+        )
+        result = np.zeros((2, n_features))
+        used = sums["feature"].to_numpy()
+        result[0, used], result[1, used] = sums["first"].to_numpy(), sums["second"].to_numpy()
+        return result
+
+    head = rows.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
+    column_sums, label_products = transposed_product(None)
+    means = column_sums / head["n"]
+    residual = label_products - column_sums * head["mean"]
+    coefs, direction = np.zeros(n_features), residual.copy()
+    size = start = residual @ residual
+    for _ in range(max_iterations):
+        if size <= tolerance**2 * start:
+            break
+        image = transposed_product(direction)[0]
+        image += alpha * direction - column_sums * (means @ direction)
+        step = size / (direction @ image)
+        coefs += step * direction
+        residual -= step * image
+        previous, size = size, residual @ residual
+        direction = residual + size / previous * direction
+    return coefs, float(head["mean"] - means @ coefs)
+
+
+def linear_model(coefs: np.ndarray, intercept: float) -> LinearRegressionModel:
+    """The library's own model around given parameters, built as the library builds a
+    vocabulary model from a given vocabulary; it scores on the JVM and can be saved."""
+    java_model = LinearRegressionModel._new_java_obj(
+        "org.apache.spark.ml.regression.LinearRegressionModel",
+        "ridge",
+        Vectors.dense(coefs),
+        float(intercept),
     )
+    return LinearRegressionModel(java_model)
 
 
 def fit(
@@ -120,10 +194,21 @@ def fit(
     """Pipeline from raw text to an unclipped ``prediction``."""
     train = train.select(text, label).na.drop()
     stages = feature_stages(train, text, max_features)
-    summary = train.agg(F.count("*").alias("n"), F.stddev_samp(label).alias("std")).first()
-    features = PipelineModel(stages).transform(train).select("features", label)
-    model = ridge(label, alpha, summary["n"], summary["std"]).fit(features)
-    return PipelineModel([*stages, model])
+    counter = next(s for s in stages if isinstance(s, CountVectorizerModel))
+    features = F.unwrap_udt("features")
+    rows = (
+        PipelineModel(stages)
+        .transform(train)
+        .select(
+            features["indices"].alias("indices"),
+            features["values"].alias("values"),
+            F.col(label).cast("double").alias("label"),
+        )
+        .persist()
+    )
+    coefs, intercept = ridge(rows, len(counter.vocabulary), alpha)
+    rows.unpersist()
+    return PipelineModel([*stages, linear_model(coefs, intercept)])
 
 
 def score(model: PipelineModel, sentences: DataFrame, column: str = "local_score") -> DataFrame:
@@ -137,10 +222,8 @@ def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
     The rows are the model's own parameters, at most ``max_features`` of them.
     """
     names = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
-    weights = model.stages[-1].coefficients.toArray().tolist()
-    return df.sparkSession.createDataFrame(
-        list(zip(names, weights)), "feature string, coef double"
-    )
+    weights = model.stages[-1].coefficients.toArray()
+    return df.sparkSession.createDataFrame(pa.table({"feature": names, "coef": weights}))
 
 
 def extreme_coefficients(coefs: DataFrame, k: int = fv.TOP_COEFFICIENTS) -> DataFrame:
