@@ -294,11 +294,11 @@ def tfidf_vocab_restricted(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    """Look-ups of every word of a conversation turn, as written, in the document with seven
+    """Look-ups of every word of a conversation turn, as written, in the document with eleven
     times the conversation's number; many of these documents do not exist."""
     turns = tables.spread(tables.read(spark, sf_dir, "conversations"))
     return turns.select(
-        (F.col("conv_id") * 7).alias("id"), F.explode(F.split("text", r"[ \n]+")).alias("term")
+        (F.col("conv_id") * 11).alias("id"), F.explode(F.split("text", r"[ \n]+")).alias("term")
     )
 
 
