@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
 from evenhand.functions.text import replace_words
+from evenhand.functions.unnest import inline_rows
 
 Groups = Mapping[str, Sequence[str]]
 
@@ -84,11 +85,11 @@ def variants(
     commented = df.filter(
         F.col(text).isNotNull() & (F.col(text) != "") & (F.size(F.col(mentions)) > 0)
     )
-    return commented.select(
-        F.col(key).alias("id"),
-        *keep,
-        F.col(score).alias("original_toxicity"),
-        F.inline(F.concat(F.array(original), swapped)),
+    return inline_rows(
+        commented,
+        [F.col(key).alias("id"), *keep, F.col(score).alias("original_toxicity")],
+        F.concat(F.array(original), swapped),
+        "variant_id",
     ).select("id", "variant_id", "variant_text", "is_original", "original_toxicity", *keep)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from evenhand import fixed_values as fv
 from evenhand.functions.numbers import lenient_number, nan_to_null
+from evenhand.functions.unnest import explode_rows
 
 
 def present_groups(df: DataFrame, groups: Sequence[str]) -> list[str]:
@@ -59,9 +60,9 @@ def mention_rows(
 def identity_long(
     df: DataFrame,
     groups: Sequence[str],
-    keep: Sequence[str],
+    keep: Sequence[str | Column],
     threshold: float = fv.MENTION_THRESHOLD,
 ) -> DataFrame:
-    """One row (identity, *keep) per comment and mentioned group."""
+    """One row (*keep, identity) per comment and mentioned group."""
     rows = mention_rows(df, groups, threshold)
-    return rows.select(F.explode("mentions").alias("identity"), *keep)
+    return explode_rows(rows, keep, F.col("mentions"), "identity")

@@ -102,18 +102,18 @@ def histogram(df: DataFrame, score: str, bins: int = fv.HISTOGRAM_BINS) -> DataF
         .groupBy("bin")
         .agg(F.count("*").alias("found"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     )
-    edges = counted.agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    # bins: a parameter-sized array beside the one row of bounds, then an equi join on it
-    frame = edges.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin0"))
-    return (
-        frame.filter(F.col("lo").isNotNull())
-        .select(
-            F.col("bin0").cast("long").alias("bin"),
-            (F.col("lo") + F.col("bin0") * width).alias("bin_lo"),
-            edge(F.col("bin0") + 1).alias("bin_hi"),
-        )
-        .join(counted.select("bin", "found"), "bin", "left")
-        .select("bin", "bin_lo", "bin_hi", F.coalesce("found", F.lit(0)).alias("n"))
+    # At most ``bins`` rows are left; one map of them gives the empty bins their zero.
+    one_row = counted.agg(
+        F.first("lo").alias("lo"),
+        F.first("hi").alias("hi"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "found"))).alias("counts"),
+    ).filter(F.col("lo").isNotNull())
+    every_bin = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
+    return one_row.select("lo", "hi", "counts", F.explode(every_bin).alias("bin")).select(
+        "bin",
+        (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+        edge(F.col("bin") + 1).alias("bin_hi"),
+        F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 

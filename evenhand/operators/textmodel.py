@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
 from evenhand.functions.text import model_tokens, stable_hash, term_runs, with_bigrams
+from evenhand.functions.unnest import inline_rows
 
 
 def in_test(key: Column, seed: int = fv.SPLIT_SEED) -> Column:
@@ -42,7 +43,8 @@ def vocabulary(
 
     Terms are counted inside each document and combined before the shuffle.
     """
-    runs = docs.select(F.inline(term_runs(with_bigrams(model_tokens(F.col(text))))))
+    terms = with_bigrams(model_tokens(F.col(text)))
+    runs = inline_rows(docs, [], term_runs(terms), "term")
     return (
         runs.groupBy("term")
         .agg(F.sum("cnt").alias("tf"), F.count("*").alias("df"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evenhand import fixed_values as fv
 from evenhand.functions.numbers import strict_number
 from evenhand.functions.text import clean_tokens, term_runs
+from evenhand.functions.unnest import explode_rows, inline_rows
 
 HOT_TERMS = 10_000  # terms whose pairs are salted; the list is broadcast
 HOT_TERM_CHARS = 64  # longer terms are never in the list, which bounds it at a few MB
@@ -29,9 +30,8 @@ def document_frequency(
     stopwords: Sequence[str] = fv.STOPWORDS,
 ) -> DataFrame:
     """(term, df): documents that contain the term, rare terms dropped."""
-    terms = docs.select(
-        F.explode(F.array_distinct(clean_tokens(F.col(text), stopwords))).alias("term")
-    )
+    distinct = F.array_distinct(clean_tokens(F.col(text), stopwords))
+    terms = explode_rows(docs, [], distinct, "term")
     return (
         terms.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     )
@@ -61,8 +61,9 @@ def term_counts(
         F.size("tokens").cast("long").alias("doc_len"),
         term_runs(F.col("tokens")).alias("runs"),
     )
-    spread = F.inline_outer("runs") if keep_empty else F.inline("runs")
-    return runs.select(key, *keep, "doc_len", spread)
+    if keep_empty:
+        return runs.select(key, *keep, "doc_len", F.inline_outer("runs"))
+    return inline_rows(runs, [key, *keep, "doc_len"], F.col("runs"), "term")
 
 
 def idf(df: Column, n_docs: Column) -> Column:
@@ -88,10 +89,13 @@ def with_frequency(
     term takes its frequency from the list and is spread over ``salts`` partitions. Every
     other term occurs in at most 1/hot_terms of all pairs and joins by shuffle.
     """
+    # Long terms are ordered last and cut afterwards: a filter before the limit would be pushed
+    # into the frequency count, which could then not be shared with the second join.
+    short = F.length("term") <= HOT_TERM_CHARS
     hot = (
-        frequency.filter(F.length("term") <= HOT_TERM_CHARS)
-        .orderBy(F.desc("df"), "term")
+        frequency.orderBy(F.desc(short), F.desc("df"), "term")
         .limit(hot_terms)
+        .filter(short)
         .select("term", F.col("df").alias("hot_df"))
     )
     salted = pairs.join(F.broadcast(hot), "term", "left").withColumn(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evenhand import fixed_values as fv
 from evenhand.functions.numbers import lenient_number
 from evenhand.functions.text import model_tokens
+from evenhand.functions.unnest import explode_rows
 from evenhand.operators import counterfactual, fairness, profile, strata, textmodel, tfidf
 from evenhand.operators.mentions import mention_rows
 from evenhand.plans import audits
@@ -108,7 +109,7 @@ def lenient_scores(spark, sf_dir):
         ),
         F.split("text", r"\s+"),
     )
-    raw = turns.select("conv_id", F.explode(fields).alias("raw"))
+    raw = explode_rows(turns, ["conv_id"], fields, "raw")
     value = raw.select("conv_id", lenient_number(F.col("raw")).alias("value"))
     return value.groupBy("conv_id").agg(
         F.count("*").alias("n_fields"),
@@ -282,7 +283,7 @@ def tfidf_first_documents(spark, sf_dir):
 def _label_words(spark, sf_dir):
     """A vocabulary table: the words of the benchmark texts."""
     items = tables.read(spark, sf_dir, "benchmark")
-    return items.select(F.explode(model_tokens(F.col("text"))).alias("term")).distinct()
+    return explode_rows(items, [], model_tokens(F.col("text")), "term").distinct()
 
 
 @query
@@ -297,9 +298,8 @@ def _requests(spark, sf_dir):
     """Look-ups of every word of a conversation turn, as written, in the document with eleven
     times the conversation's number; many of these documents do not exist."""
     turns = tables.spread(tables.read(spark, sf_dir, "conversations"))
-    return turns.select(
-        (F.col("conv_id") * 11).alias("id"), F.explode(F.split("text", r"[ \n]+")).alias("term")
-    )
+    document = (F.col("conv_id") * 11).alias("id")
+    return explode_rows(turns, [document], F.split("text", r"[ \n]+"), "term")
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
 from evenhand.functions.text import extract_all, replace_words
+from evenhand.functions.unnest import inline_rows
 
 LEXICON = {
     "g_ther": ["ther", "thers", "then"],
@@ -112,18 +113,13 @@ def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = synthetic_target(F.col("id"))
     level_pos = F.when(score < 1 / 3, 0).when(score < 2 / 3, 1).otherwise(2).cast("long")
     names = F.array(*[F.lit(level) for level in fv.LEVELS])
-    return (
-        documents(spark, sf_dir)
-        .select(
-            "id",
-            level_pos.alias("level_pos"),
-            F.inline(F.filter(lines, lambda t: t["template"] != t["line"])),
-        )
-        .select(
-            "id",
-            "line_no",
-            F.get(names, F.col("level_pos").cast("int")).alias("level"),
-            "level_pos",
-            "template",
-        )
+    changed = F.filter(lines, lambda t: t["template"] != t["line"])
+    return inline_rows(
+        documents(spark, sf_dir), ["id", level_pos.alias("level_pos")], changed, "line_no"
+    ).select(
+        "id",
+        "line_no",
+        F.get(names, F.col("level_pos").cast("int")).alias("level"),
+        "level_pos",
+        "template",
     )
