@@ -22,7 +22,9 @@ TIE_DIGITS = 12  # means that differ only by the order of summation count as equ
 def attach_scores(
     sentences: DataFrame, scores: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """Left join to an external score table; a sentence without a score keeps NULL."""
+    """Left join to an external score table with one row per key; a sentence without a score
+    keeps NULL. A sentence copied very often makes its partition large; adaptive execution
+    splits such a partition of the left side and repeats the few matching score rows."""
     return sentences.join(scores, list(keys), "left")
 
 

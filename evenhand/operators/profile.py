@@ -42,10 +42,12 @@ def describe(df: DataFrame, score: str, sortable_rows: int = ranks.SORTABLE_ROWS
     ``percentile`` gathers every distinct value in one task.
     """
     values = df.select(nan_to_null(F.col(score).cast("double")).alias("value")).na.drop()
+    values = values.persist()
     n_rows = values.count()
     quartiles = {name: (n_rows - 1) * q for name, q in QUARTILES.items()}
     wanted = [r for at in quartiles.values() for r in (int(at), min(int(at) + 1, n_rows - 1))]
     found = ranks.keys_at_ranks(values, ["value"], wanted, n_rows, sortable_rows) if n_rows else {}
+    values.unpersist()
 
     def interpolated(at: float) -> float | None:
         if not n_rows:

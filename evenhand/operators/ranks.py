@@ -128,9 +128,8 @@ def _narrow(keys: _Keys, waiting: dict[int, Interval], round_number: int):
             for n, i in enumerate(intervals)
         ],
     )
-    sample = sorted(
-        tuple(row) for row in keys.df.filter(chosen).limit(4 * SAMPLE_ROWS * len(intervals)).collect()
-    )
+    # About SAMPLE_ROWS rows per interval; no limit, which would read partition by partition.
+    sample = sorted(tuple(row) for row in keys.df.filter(chosen).collect())
     splitters = set()
     for i in intervals:
         own = [

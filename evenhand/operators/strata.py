@@ -38,7 +38,10 @@ def stratify(
     constants on the way out of the scan, without a shuffle or a join.
     """
     scored = df.filter(F.col(score).isNotNull())
-    n_rows = scored.count()
+    # The search reads the order keys several times; only these two columns are kept, and a
+    # lost executor's share is computed again from the input.
+    keys = scored.select(score, key).persist()
+    n_rows = keys.count()
     start, end = middle_range(n_rows, middle_n)
     spans = {
         "bottom": (0, min(bottom_n, n_rows)),
@@ -47,13 +50,15 @@ def stratify(
     }
     spans = {name: (a, b) for name, (a, b) in spans.items() if a < b}
     if not spans:
+        keys.unpersist()
         return scored.withColumn("stratum", F.lit("")).filter(F.lit(False))
 
     columns = [score, key]
     types = [df.schema[c].dataType for c in columns]
     edges = ranks.keys_at_ranks(
-        scored, columns, [r for a, b in spans.values() for r in (a, b - 1)], n_rows, sortable_rows
+        keys, columns, [r for a, b in spans.values() for r in (a, b - 1)], n_rows, sortable_rows
     )
+    keys.unpersist()
     member = {
         name: ranks.after(columns, types, edges[a], True)
         & ranks.before(columns, types, edges[b - 1], True)

@@ -122,18 +122,22 @@ def tfidf_long(
     keep: Sequence[str] = (),
     corpus: DataFrame | None = None,
     min_df: int = fv.MIN_DOC_FREQ,
-    vocabulary: DataFrame | None = None,
+    vocabulary: DataFrame | Sequence[str] | None = None,
     keep_empty: bool = False,
     stopwords: Sequence[str] = fv.STOPWORDS,
 ) -> DataFrame:
     """(key, *keep, term, tfidf) for every known term of every document.
 
     ``corpus`` supplies the frequencies when ``docs`` is only a part of it. ``vocabulary``
-    is an optional table with a ``term`` column; no table means no restriction. Documents
-    without a known term appear only with ``keep_empty``, as a NULL term.
+    is an optional list, or a table with a ``term`` column; None and an empty list mean no
+    restriction. Documents without a known term appear only with ``keep_empty``, as a NULL
+    term.
     """
     corpus = docs if corpus is None else corpus
     frequency = document_frequency(corpus, text, min_df, stopwords)
+    if isinstance(vocabulary, Sequence):
+        rows = [(term,) for term in vocabulary]
+        vocabulary = docs.sparkSession.createDataFrame(rows, "term string") if rows else None
     if vocabulary is not None:
         # Restricting the one-row-per-term table restricts the pairs without another join.
         frequency = frequency.join(vocabulary.select("term"), "term", "left_semi")
@@ -156,7 +160,7 @@ def vectors(
     target: str = "target",
     corpus: DataFrame | None = None,
     min_df: int = fv.MIN_DOC_FREQ,
-    vocabulary: DataFrame | None = None,
+    vocabulary: DataFrame | Sequence[str] | None = None,
 ) -> DataFrame:
     """(key, target, vec): one map of term weights per document, empty for no known term.
 

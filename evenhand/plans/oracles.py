@@ -280,6 +280,10 @@ FROM comments""",
     "eda_identity_toxicity": f"""WITH {COMMENTS}, {LONG}
 SELECT grp AS identity, count(*) AS n_comments, round(avg(target), 6) AS mean_toxicity,
        round(100.0 * count(*) FILTER (WHERE target >= 0.5) / count(*), 6) AS pct_toxic
+FROM long GROUP BY grp HAVING count(*) >= {fv.MIN_GROUP_SIZE}""",
+    "eda_identity_rounded": f"""WITH {COMMENTS}, {LONG}
+SELECT grp AS identity, count(*) AS n_comments, round_even(avg(target_syn), 3) AS mean_toxicity,
+       round_even(100.0 * count(*) FILTER (WHERE target_syn >= 0.5) / count(*), 1) AS pct_toxic
 FROM long GROUP BY grp HAVING count(*) >= {fv.MIN_GROUP_SIZE}""",
     "band_samples": f"""WITH {COMMENTS}, {LONG},
 banded AS (SELECT *, {SAMPLE_CASE} AS band FROM long),

@@ -87,6 +87,13 @@ def eda_identity_toxicity(spark, sf_dir, min_group_size: int = fv.MIN_GROUP_SIZE
     ).select("identity", "n_comments", r("mean_toxicity"), r("pct_toxic"))
 
 
+@query
+def eda_identity_rounded(spark, sf_dir):
+    """The same table with the continuous score, rounded half to even as published."""
+    df = tables.comments(spark, sf_dir, labelled=False)
+    return profile.identity_summary(df, tables.GROUPS, "target_syn", rounded=True)
+
+
 @query
 def band_samples(spark, sf_dir):
     df = tables.comments(spark, sf_dir, labelled=False)

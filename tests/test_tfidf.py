@@ -65,6 +65,9 @@ def test_vectors_hold_every_document(docs, spark):
     only = spark.createDataFrame([("words",)], "term string")
     restricted = {r["id"]: r["vec"] for r in tfidf.vectors(docs, vocabulary=only).collect()}
     assert set(restricted[5]) == {"words"} and restricted[0] == {}
+    listed = {r["id"]: r["vec"] for r in tfidf.vectors(docs, vocabulary=["words"]).collect()}
+    assert listed == restricted
+    assert tfidf.tfidf_long(docs, vocabulary=[]).count() == tfidf.tfidf_long(docs).count()
     junk = docs.withColumn("target", F.lit("abc"))
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         tfidf.vectors(junk).collect()
