@@ -86,8 +86,9 @@ def with_frequency(
 
     A term may occur in a third of all documents, and all its pairs would meet in one task.
     The most frequent terms form a list of bounded size that is broadcast; a pair of such a
-    term takes its frequency from the list and is spread over ``salts`` partitions. Every
-    other term occurs in at most 1/hot_terms of all pairs and joins by shuffle.
+    term takes its frequency from the list, and its key in the join by shuffle is a salt
+    that no term equals, so it is spread evenly. Rows without a term are spread likewise.
+    Every other term occurs in at most 1/hot_terms of all pairs.
     """
     # Long terms are ordered last and cut afterwards: a filter before the limit would be pushed
     # into the frequency count, which could then not be shared with the second join.
@@ -98,16 +99,15 @@ def with_frequency(
         .filter(short)
         .select("term", F.col("df").alias("hot_df"))
     )
+    salt = F.concat(F.lit("#"), F.pmod(F.xxhash64(key), F.lit(salts)))
+    cold = F.col("hot_df").isNull() & F.col("term").isNotNull()
     salted = pairs.join(F.broadcast(hot), "term", "left").withColumn(
-        "salt",
-        F.when(F.col("hot_df").isNull(), F.lit(-1)).otherwise(
-            F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-        ),
+        "lookup", F.when(cold, F.col("term")).otherwise(salt)
     )
     return (
-        salted.join(frequency.withColumn("salt", F.lit(-1)), ["term", "salt"], "left")
+        salted.join(frequency.withColumnRenamed("term", "lookup"), "lookup", "left")
         .withColumn("df", F.coalesce("hot_df", "df"))
-        .drop("salt", "hot_df")
+        .drop("lookup", "hot_df")
     )
 
 
