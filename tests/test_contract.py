@@ -58,3 +58,15 @@ def test_scans_are_pruned(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint>" in text
     text = plan(QUERIES["doc_frequency"](spark, sf_dir))
     assert "ReadSchema: struct<text:string>" in text
+
+
+def test_common_terms_are_salted_in_the_shuffle_join(spark, sf_dir):
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in settings:
+        spark.conf.set(name, "-1")
+    try:
+        df = QUERIES["tfidf_long"](spark, sf_dir)
+        assert re.search(r"SortMergeJoin \[lookup#\d+\], \[lookup#\d+\], LeftOuter", plan(df))
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
