@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenhand import fixed_values as fv
-from evenhand.functions.numbers import lenient_number, nan_to_null
+from evenhand.functions.numbers import lenient_number
 from evenhand.functions.unnest import explode_rows
 
 
@@ -20,15 +20,19 @@ def present_groups(df: DataFrame, groups: Sequence[str]) -> list[str]:
     return [g for g in groups if g in df.columns]
 
 
-def identity_value(df: DataFrame, group: str) -> Column:
-    """A group's value as a double, whether the column is text or numeric."""
+def mention_flag(df: DataFrame, group: str, threshold: float) -> Column:
+    """True where the group's value, text or number, reaches the threshold. NaN does not,
+    although it compares above every number."""
+    value = F.col(group)
     if isinstance(df.schema[group].dataType, T.StringType):
-        return lenient_number(F.col(group))
-    return nan_to_null(F.col(group).cast("double"))
+        return lenient_number(value) >= F.lit(threshold)
+    if isinstance(df.schema[group].dataType, T.FractionalType):
+        return (value >= F.lit(threshold)) & ~F.isnan(value)
+    return value >= F.lit(threshold)
 
 
 def mention_flags(df: DataFrame, groups: Sequence[str], threshold: float) -> list[Column]:
-    return [identity_value(df, g) >= F.lit(threshold) for g in present_groups(df, groups)]
+    return [mention_flag(df, g, threshold) for g in present_groups(df, groups)]
 
 
 def mention_array(
@@ -47,13 +51,15 @@ def mention_rows(
 ) -> DataFrame:
     """Rows with at least one mention, with a ``mentions`` array.
 
-    The filter is an OR over the raw columns, not a size test on the array, so that it can
-    be pushed to a columnar scan.
+    Numeric columns are filtered by an OR of plain comparisons first, which a columnar scan
+    can use; it lets NaN pass, so the exact condition follows.
     """
     names = present_groups(df, groups)
     if not names:
         return df.withColumn("mentions", mention_array(df, names)).filter(F.lit(False))
     any_mention = reduce(or_, mention_flags(df, names, threshold))
+    if not any(isinstance(df.schema[g].dataType, T.StringType) for g in names):
+        df = df.filter(reduce(or_, [F.col(g) >= F.lit(threshold) for g in names]))
     return df.filter(any_mention).withColumn("mentions", mention_array(df, names, threshold))
 
 

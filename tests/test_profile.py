@@ -67,6 +67,17 @@ def test_mentions_keep_order_and_accept_text(spark):
     assert df.select(mention_array(df, ["gone"])).first()[0] == []
 
 
+def test_mention_filter_is_pushed_to_the_scan(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    rows = [(1, 0.9, NAN, "x"), (2, 0.1, 0.2, "y"), (3, None, 0.5, "z"), (4, NAN, NAN, "w")]
+    spark.createDataFrame(rows, "id int, a double, b double, t string").write.parquet(path)
+    df = mention_rows(spark.read.parquet(path), ["a", "b"]).select("id", "mentions")
+    assert {r["id"]: r["mentions"] for r in df.collect()} == {1: ["a"], 3: ["b"]}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Or(GreaterThanOrEqual(a,0.5),GreaterThanOrEqual(b,0.5))" in plan
+    assert "ReadSchema: struct<id:int,a:double,b:double>" in plan
+
+
 def test_band_samples_are_members_and_stable(spark):
     rows = [(i, i / 100, 1.0, float(i % 2), f"text\n{i}") for i in range(101)] + [(999, 0.1, 1.0, 1.0, None)]
     df = spark.createDataFrame(rows, "id long, t double, a double, b double, c string")
