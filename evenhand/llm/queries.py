@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenhand.llm import curriculum, decontamination, sharding, simhash, toxicity
+from evenhand.llm import curriculum, decontamination, imatch, pseudo_likelihood, sharding, simhash, surrogates, templates, toxicity
 from evenhand.llm.common import table
 
 
@@ -21,15 +21,27 @@ def op1_karmarkar_karp_shards(spark, sf_dir):
     )
 
 
+def op2_keyed_surrogates(spark, sf_dir):
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_anchor_covering(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_masked_pseudo_likelihood(spark, sf_dir):
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_chain(spark, sf_dir):
     labels = toxicity.labels_of(table(spark, sf_dir, "labels"))
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
 
 
+def op7_imatch_fingerprints(spark, sf_dir):
+    return imatch.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_curriculum_mix(spark, sf_dir):
     found = curriculum.mix(table(spark, sf_dir, "documents"))
     return found.select(
@@ -42,6 +54,10 @@ def op8_curriculum_mix(spark, sf_dir):
     )
 
 
+def op9_template_line_dedup(spark, sf_dir):
+    return templates.drop_template_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_wu_manber_decontamination(spark, sf_dir):
     found = decontamination.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digest(found)
@@ -51,9 +67,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_karmarkar_karp_shards,
+        op2_keyed_surrogates,
         op3_simhash_anchor_covering,
+        op4_masked_pseudo_likelihood,
         op5_toxicity_chain,
+        op7_imatch_fingerprints,
         op8_curriculum_mix,
+        op9_template_line_dedup,
         op10_wu_manber_decontamination,
     )
 }
