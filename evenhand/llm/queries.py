@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenhand.llm import curriculum, decontamination, imatch, pseudo_likelihood, sharding, simhash, surrogates, templates, toxicity
+from evenhand.llm import curriculum, decontamination, imatch, pseudo_likelihood, sharding, simhash, suffixes, surrogates, templates, toxicity
 from evenhand.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_toxicity_chain(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
 
 
+def op6_difference_cover_repeats(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op7_imatch_fingerprints(spark, sf_dir):
     return imatch.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
         op3_simhash_anchor_covering,
         op4_masked_pseudo_likelihood,
         op5_toxicity_chain,
+        op6_difference_cover_repeats,
         op7_imatch_fingerprints,
         op8_curriculum_mix,
         op9_template_line_dedup,
