@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evenhand import fixed_values as fv
+
 # A decimal literal: digits may be grouped by single underscores, no type suffix.
 _DIGITS = r"\d+(_\d+)*"
 NUMBER_PATTERN = (
@@ -18,9 +20,14 @@ def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends, Unicode's included."""
+    return F.regexp_replace(text, f"^[{fv.WHITESPACE}]+|[{fv.WHITESPACE}]+$", "")
+
+
 def lenient_number(text: Column) -> Column:
     """Text to double: missing or empty is 0, anything unparsable is NULL."""
-    trimmed = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    trimmed = strip(text)
     parsed = F.when(
         trimmed.rlike(NUMBER_PATTERN), F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
     )

@@ -43,6 +43,13 @@ def model_tokens(text: Column) -> Column:
     return extract_all(F.lower(text), f"[{fv.WORD_CHAR}]{{2,}}")
 
 
+def model_terms_sql(column: str) -> str:
+    """``with_bigrams(model_tokens(column))`` as SQL, for a fitted stage."""
+    words = f"regexp_extract_all(lower(`{column}`), '[{fv.WORD_CHAR}]{{2,}}', 0)".replace("\\", "\\\\")
+    pairs = "zip_with(slice(t, 1, greatest(size(t) - 1, 0)), slice(t, 2, greatest(size(t) - 1, 0)), (a, b) -> concat_ws(' ', a, b))"
+    return f"get(transform(array({words}), t -> concat(t, {pairs})), 0)"
+
+
 def with_bigrams(tokens: Column) -> Column:
     """The tokens followed by all pairs of neighbours, joined by a space."""
     return bind(
@@ -140,9 +147,3 @@ def replace_words(text: Column, terms: Sequence[str], word: str) -> Column:
             literal = replacement.replace("\\", "\\\\").replace("$", "\\$")
             text = F.regexp_replace(text, pattern, literal)
     return text
-
-
-def contains_word(text: Column, terms: Sequence[str]) -> Column:
-    upper, lower = term_patterns(terms)
-    alternation = "|".join(p for p in (upper, lower) if p)
-    return text.rlike(f"(?<![{fv.WORD_CHAR}])(?:{alternation})(?![{fv.WORD_CHAR}])")

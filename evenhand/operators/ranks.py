@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
 MARGIN = 4  # standard deviations between the expected place of a rank and its splitters
-SORTABLE_ROWS = 200_000  # an interval of at most this many keys is sorted in one task
+SORTABLE_ROWS = 64  # an interval of at most this many keys is sorted in one task
 
 
 @dataclass(frozen=True)

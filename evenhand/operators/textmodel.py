@@ -11,9 +11,7 @@ from pyspark.ml.feature import (
     CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
-    NGram,
     Normalizer,
-    RegexTokenizer,
     SQLTransformer,
 )
 from pyspark.ml.linalg import Vectors
@@ -22,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
-from evenhand.functions.text import model_tokens, stable_hash, term_runs, with_bigrams
+from evenhand.functions.text import model_terms_sql, stable_hash, term_runs
 from evenhand.functions.unnest import inline_rows
+from evenhand.operators import ranks
 
 
 def in_test(key: Column, seed: int = fv.SPLIT_SEED) -> Column:
@@ -41,16 +40,20 @@ def vocabulary(
 ) -> DataFrame:
     """(term, tf, df) of the most frequent unigrams and bigrams, ties in term order.
 
-    Terms are counted inside each document and combined before the shuffle.
+    Terms are counted inside each document and combined before the shuffle. The last term that
+    belongs to the vocabulary is found by a search over ranks, then a filter keeps it and those
+    before it; no task collects candidates of all others.
     """
-    terms = with_bigrams(model_tokens(F.col(text)))
-    runs = inline_rows(docs, [], term_runs(terms), "term")
-    return (
-        runs.groupBy("term")
-        .agg(F.sum("cnt").alias("tf"), F.count("*").alias("df"))
-        .orderBy(F.desc("tf"), "term")
-        .limit(max_features)
-    )
+    runs = inline_rows(docs, [], term_runs(F.expr(model_terms_sql(text))), "term")
+    counted = runs.groupBy("term").agg(F.sum("cnt").alias("tf"), F.count("*").alias("df"))
+    counted = counted.withColumn("fewer", -F.col("tf")).persist()
+    n_terms = counted.count()
+    if n_terms > max_features:
+        columns = ["fewer", "term"]
+        last = ranks.keys_at_ranks(counted, columns, [max_features - 1], n_terms)[max_features - 1]
+        types = [counted.schema[c].dataType for c in columns]
+        counted = counted.filter(ranks.before(columns, types, last, True))
+    return counted.select("term", "tf", "df").orderBy(F.desc("tf"), "term")
 
 
 def smoothed_idf(df: str, n_docs: Column) -> Column:
@@ -77,15 +80,7 @@ def feature_stages(
     terms.unpersist()
     weights = dict(zip(table["term"].to_pylist(), table["idf"].to_pylist()))
     return [
-        RegexTokenizer(
-            inputCol=text,
-            outputCol="__words",
-            gaps=False,
-            toLowercase=True,
-            pattern=f"[{fv.WORD_CHAR}]{{2,}}",
-        ),
-        NGram(n=2, inputCol="__words", outputCol="__bigrams"),
-        SQLTransformer(statement="SELECT *, concat(__words, __bigrams) AS __terms FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {model_terms_sql(text)} AS __terms FROM __THIS__"),
         counter,
         ElementwiseProduct(
             scalingVec=Vectors.dense([weights[term] for term in counter.vocabulary]),
@@ -94,7 +89,7 @@ def feature_stages(
         ),
         Normalizer(p=2.0, inputCol="__weighted", outputCol="features"),
         SQLTransformer(
-            statement="SELECT * EXCEPT (__words, __bigrams, __terms, __counts, __weighted) "
+            statement="SELECT * EXCEPT (__terms, __counts, __weighted) "
             "FROM __THIS__"
         ),
     ]
@@ -114,8 +109,11 @@ def ridge(
     and its transpose inside the tasks and adds the partial vectors by feature in a shuffle.
     Only vectors of ``n_features`` numbers reach the driver. (LinearRegression works on
     scaled features, where many rare terms make the same problem so badly conditioned that
-    it is far from the minimum after hundreds of steps.)
+    it is far from the minimum after hundreds of steps.) Without convergence it fails. Each task
+    merges its rows into one partial vector, so rows are first brought to one partition per
+    core.
     """
+    rows = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
 
     def transposed_product(direction: np.ndarray | None) -> np.ndarray:
         """X'(X direction); without a direction X'1 and X'label."""
@@ -171,6 +169,10 @@ def ridge(
         residual -= step * image
         previous, size = size, residual @ residual
         direction = residual + size / previous * direction
+    if size > tolerance**2 * start:
+        raise RuntimeError(
+            f"no convergence in {max_iterations} steps: residual {size**0.5:g}, first {start**0.5:g}"
+        )
     return coefs, float(head["mean"] - means @ coefs)
 
 
@@ -213,6 +215,36 @@ def fit(
     return PipelineModel([*stages, linear_model(coefs, intercept)])
 
 
+def optimality(
+    model: PipelineModel, train: DataFrame, label: str = "target", alpha: float = fv.RIDGE_ALPHA
+) -> DataFrame:
+    """(largest_gradient, mean_residual, unit_vectors) of a fitted model on its training rows: the
+    largest absolute entry of half the gradient of the penalised squares, the mean of prediction
+    minus label, and the share of vectors of length 1 among those that are not empty."""
+    linear = model.stages[-1]
+    weights = train.sparkSession.createDataFrame(
+        pa.table({"feature": np.arange(linear.numFeatures), "coef": linear.coefficients.toArray()})
+    )
+    features = F.unwrap_udt("features")
+    rows = model.transform(train.filter(F.col(label).isNotNull())).select(
+        features["indices"].alias("i"),
+        features["values"].alias("v"),
+        (F.col("prediction") - F.col(label)).alias("residual"),
+    )
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    unit = F.when(F.size("v") > 0, (F.abs(squares - 1) < 1e-9).cast("double"))
+    overall = rows.agg(F.avg("residual").alias("mean_residual"), F.avg(unit).alias("unit_vectors"))
+    products = (
+        inline_rows(rows, ["residual"], F.arrays_zip("i", "v"), "i")
+        .groupBy(F.col("i").cast("long").alias("feature"))
+        .agg(F.sum(F.col("v") * F.col("residual")).alias("product"))
+    )
+    gradient = weights.join(products, "feature", "left").agg(
+        F.max(F.abs(F.coalesce("product", F.lit(0.0)) + alpha * F.col("coef"))).alias("largest_gradient")
+    )
+    return overall.withColumn("largest_gradient", gradient.scalar())
+
+
 def score(model: PipelineModel, sentences: DataFrame, column: str = "local_score") -> DataFrame:
     scored = model.transform(sentences)
     return scored.drop("features").withColumnRenamed("prediction", column)

@@ -14,13 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
-from evenhand.functions.numbers import strict_number
+from evenhand.functions.numbers import strict_number, strip
 from evenhand.functions.text import clean_tokens, term_runs
 from evenhand.functions.unnest import explode_rows, inline_rows
 
-HOT_TERMS = 10_000  # terms whose pairs are salted; the list is broadcast
-HOT_TERM_CHARS = 64  # longer terms are never in the list, which bounds it at a few MB
-SALTS = 256
+HOT_TERMS = 10_000  # a term of over 1 / HOT_TERMS of all pairs is hot: at most so many are
 
 
 def document_frequency(
@@ -80,34 +78,31 @@ def with_frequency(
     frequency: DataFrame,
     key: str,
     hot_terms: int = HOT_TERMS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Left join of (.., term, ..) to the document frequencies, robust to very common terms.
 
     A term may occur in a third of all documents, and all its pairs would meet in one task.
-    The most frequent terms form a list of bounded size that is broadcast; a pair of such a
-    term takes its frequency from the list, and its key in the join by shuffle is a salt
-    that no term equals, so it is spread evenly. Rows without a term are spread likewise.
-    Every other term occurs in at most 1/hot_terms of all pairs.
+    Terms with more than 1 / hot_terms of all pairs, so at most ``hot_terms`` of whatever length,
+    are broadcast as two hashes and a count. A pair of such a term takes its frequency from
+    that list, and its key in the join by shuffle is a hash of the document and the term that no
+    term equals, so it is spread over all partitions. Rows without a term are spread likewise.
     """
-    # Long terms are ordered last and cut afterwards: a filter before the limit would be pushed
-    # into the frequency count, which could then not be shared with the second join.
-    short = F.length("term") <= HOT_TERM_CHARS
-    hot = (
-        frequency.orderBy(F.desc(short), F.desc("df"), "term")
-        .limit(hot_terms)
-        .filter(short)
-        .select("term", F.col("df").alias("hot_df"))
+    total = frequency.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).scalar()
+    hot = frequency.filter(F.col("df") > total / hot_terms).select(
+        F.xxhash64("term").alias("__h1"),
+        F.xxhash64("term", F.lit(1)).alias("__h2"),
+        F.col("df").alias("hot_df"),
     )
-    salt = F.concat(F.lit("#"), F.pmod(F.xxhash64(key), F.lit(salts)))
+    salt = F.concat(F.lit("#"), F.xxhash64(key, "term"))
     cold = F.col("hot_df").isNull() & F.col("term").isNotNull()
-    salted = pairs.join(F.broadcast(hot), "term", "left").withColumn(
+    is_hot = (F.xxhash64("term") == F.col("__h1")) & (F.xxhash64("term", F.lit(1)) == F.col("__h2"))
+    salted = pairs.join(F.broadcast(hot), is_hot, "left").withColumn(
         "lookup", F.when(cold, F.col("term")).otherwise(salt)
     )
     return (
         salted.join(frequency.withColumnRenamed("term", "lookup"), "lookup", "left")
         .withColumn("df", F.coalesce("hot_df", "df"))
-        .drop("lookup", "hot_df")
+        .drop("lookup", "hot_df", "__h1", "__h2")
     )
 
 
@@ -157,15 +152,20 @@ def vectors(
     docs: DataFrame,
     key: str = "id",
     text: str = "comment_text",
-    target: str = "target",
+    target: str | None = "target",
     corpus: DataFrame | None = None,
     min_df: int = fv.MIN_DOC_FREQ,
     vocabulary: DataFrame | Sequence[str] | None = None,
 ) -> DataFrame:
     """(key, target, vec): one map of term weights per document, empty for no known term.
 
-    A missing target is 0; a text target that is no number fails the job.
+    A missing target is 0; a text target that is no number fails the job. Without a target
+    the column is left out: one from another table is better joined to the vectors than to
+    the texts.
     """
+    if target is None:
+        long = tfidf_long(docs, key, text, [], corpus, min_df, vocabulary, True)
+        return long.groupBy(key).agg(_as_map())
     if docs.schema[target].dataType.typeName() == "string":
         value = strict_number(F.col(target))
     else:
@@ -173,10 +173,12 @@ def vectors(
     long = tfidf_long(
         docs.withColumn(target, value), key, text, [target], corpus, min_df, vocabulary, True
     )
+    return long.groupBy(key, target).agg(_as_map())
+
+
+def _as_map() -> Column:
     entries = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tfidf")))
-    return long.groupBy(key, target).agg(
-        F.map_from_entries(F.sort_array(entries)).alias("vec")
-    )
+    return F.map_from_entries(F.sort_array(entries)).alias("vec")
 
 
 def top_terms(tfidf: DataFrame, key: str = "id", k: int = 3) -> DataFrame:
@@ -199,12 +201,12 @@ def lookup(
 ) -> DataFrame:
     """(key, term, tfidf) for each distinct request (key, term), 0.0 for an absent term.
 
-    The requested term is lower-cased and trimmed, but not tokenised. A rare term counts
+    The requested term is lower-cased and stripped of white space, but not tokenised. A rare term counts
     with frequency 0. Requests for unknown documents are left out (``missing_documents``).
     A document that very many requests name is handled by salting the existence check; the
     look-up itself is keyed by document and term.
     """
-    wanted = requests.select(key, F.trim(F.lower("term")).alias("term")).distinct()
+    wanted = requests.select(key, strip(F.lower("term")).alias("term")).distinct()
     asked_docs = docs.join(wanted.select(key).distinct(), key, "left_semi")
     counts = term_counts(asked_docs, key, text)
     existing = asked_docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))

@@ -159,9 +159,10 @@ ranked_terms AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(tfidf, 9) DESC, term) AS rank
   FROM weights)"""
 
-REQUESTS = """
+REQUESTS = f"""
 requests AS (
-  SELECT DISTINCT conv_id * 11 AS id, trim(lower(term)) AS term
+  SELECT DISTINCT conv_id * 11 AS id,
+         regexp_replace(lower(term), '^[{fv.WHITESPACE}]+|[{fv.WHITESPACE}]+$', '', 'g') AS term
   FROM (SELECT conv_id, unnest(string_split_regex(text, '[ \\n]+')) AS term FROM conversations))"""
 
 ALL_WORDS = [w for words in CATEGORY_WORDS.values() for w in words]
@@ -294,15 +295,19 @@ SELECT grp AS identity, band, id, target_syn AS score,
 FROM drawn WHERE k = 1""",
     "lenient_scores": f"""WITH spelled AS (
   SELECT conv_id, unnest(list_concat(
-    ['', ' ' || turn || '.5 ', turn || 'd', '1_' || turn, '-' || turn || 'e-1', 'nan'],
-    string_split_regex(text, '\\s+'))) AS raw
+    ['', ' ' || turn || '.5 ', turn || 'd', '1_' || turn, '-' || turn || 'e-1', 'nan',
+     chr(160) || turn || '.25' || chr(8195)], string_split_regex(text, '\\s+'))) AS spelled
   FROM conversations),
+stripped AS (
+  SELECT conv_id, CASE WHEN spelled = '' THEN '' ELSE
+    coalesce(nullif(regexp_replace(spelled, '^[{fv.WHITESPACE}]+|[{fv.WHITESPACE}]+$', '', 'g'), ''), ' ') END AS raw
+  FROM spelled),
 parsed AS (
   SELECT conv_id, CASE WHEN raw = '' THEN 0.0
     WHEN regexp_matches(trim(raw), '{NUMBER}')
       THEN CAST(replace(trim(raw), '_', '') AS DOUBLE)
     WHEN regexp_matches(lower(trim(raw)), '^[+-]?(inf|infinity)$') THEN CAST(trim(raw) AS DOUBLE)
-  END AS value FROM spelled)
+  END AS value FROM stripped)
 SELECT conv_id, count(*) AS n_fields, count(value) AS n_numbers, round(sum(value), 6) AS total
 FROM parsed GROUP BY conv_id""",
     "document_index": "SELECT doc_id, doc_id AS doc_index FROM documents",
@@ -357,6 +362,12 @@ LEFT JOIN counts c ON c.id = r.id AND c.term = r.term
 LEFT JOIN df ON df.term = r.term CROSS JOIN n""",
     "tfidf_lookup_missing": """SELECT DISTINCT conv_id * 11 AS id FROM conversations
 WHERE conv_id * 11 NOT IN (SELECT doc_id FROM documents)""",
+    "tfidf_vectors": f"""WITH {TOKENS}
+SELECT doc_id AS id, coalesce(CAST(toxic AS DOUBLE), 0.0) AS target,
+       coalesce(string_agg(term || ':' || CAST(round(tfidf * 1000000) AS BIGINT), ' ' ORDER BY term), '') AS vec
+FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN weights ON weights.id = doc_id
+GROUP BY doc_id, toxic""",
+    "model_optimality": "SELECT 0.0::DOUBLE AS largest_gradient, 0.0::DOUBLE AS mean_residual, 1.0::DOUBLE AS unit_vectors",
     "tfidf_vector_sizes": f"""WITH {TOKENS}
 SELECT doc_id AS id, coalesce(CAST(toxic AS DOUBLE), 0.0) AS target, count(term) AS n_terms,
        round(coalesce(sum(tfidf), 0.0), 6) AS total, round(max(tfidf), 6) AS largest

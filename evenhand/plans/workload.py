@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,9 +101,9 @@ def band_samples(spark, sf_dir):
 
 @query
 def lenient_scores(spark, sf_dir):
-    """Leniently parsed fields: the words at the head of each line of each conversation turn
-    and the turn's own number in several spellings."""
-    turns = tables.spread(tables.read(spark, sf_dir, "conversations"))
+    """Leniently parsed fields: the words of each conversation turn and the turn's own
+    number in several spellings."""
+    turns = tables.read(spark, sf_dir, "conversations")
     fields = F.concat(
         F.array(
             F.lit(""),
@@ -113,6 +112,7 @@ def lenient_scores(spark, sf_dir):
             F.concat(F.lit("1_"), F.col("turn")),
             F.concat(F.lit("-"), F.col("turn"), F.lit("e-1")),
             F.lit("nan"),
+            F.concat(F.lit("\u00a0"), F.col("turn"), F.lit(".25\u2003")),
         ),
         F.split("text", r"\s+"),
     )
@@ -303,10 +303,12 @@ def tfidf_vocab_restricted(spark, sf_dir):
 
 def _requests(spark, sf_dir):
     """Look-ups of every word of a conversation turn, as written, in the document with eleven
-    times the conversation's number; many of these documents do not exist."""
-    turns = tables.spread(tables.read(spark, sf_dir, "conversations"))
+    times the conversation's number, some in white space; many of these documents do not exist."""
+    turns = tables.read(spark, sf_dir, "conversations")
     document = (F.col("conv_id") * 11).alias("id")
-    return explode_rows(turns, [document], F.split("text", r"[ \n]+"), "term")
+    words = F.split("text", r"[ \n]+")
+    spaced = F.transform(words, lambda w, i: F.when(i % 3 == 0, F.concat(F.lit("\t\u00a0"), w, F.lit("\n"))).otherwise(w))
+    return explode_rows(turns, [document], spaced, "term")
 
 
 @query
@@ -321,22 +323,29 @@ def tfidf_lookup_missing(spark, sf_dir):
     return tfidf.missing_documents(_requests(spark, sf_dir), docs)
 
 
-def _labelled(spark, sf_dir):
+def _labelled_vectors(spark, sf_dir):
+    """Vectors of all documents; the labels join them by id, the texts stay where they are."""
     labels = tables.read(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("id"), F.col("toxic").cast("double").alias("target")
+        F.col("doc_id").alias("id"), F.col("toxic").cast("double").alias("label")
     )
-    return tables.documents(spark, sf_dir).join(labels, "id", "left")
+    found = tfidf.vectors(tables.documents(spark, sf_dir), target=None).join(labels, "id", "left")
+    return found.select("id", F.coalesce("label", F.lit(0.0)).alias("target"), "vec")
 
 
 @query
 def tfidf_vectors(spark, sf_dir):
-    return tfidf.vectors(_labelled(spark, sf_dir))
+    """The map's entries in term order, as term:weight in millionths."""
+    entries = F.transform(
+        F.map_entries("vec"),
+        lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 1_000_000).cast("long")),
+    )
+    return _labelled_vectors(spark, sf_dir).select("id", "target", F.array_join(entries, " ").alias("vec"))
 
 
 @query
 def tfidf_vector_sizes(spark, sf_dir):
     weights = F.map_values("vec")
-    return tfidf.vectors(_labelled(spark, sf_dir)).select(
+    return _labelled_vectors(spark, sf_dir).select(
         "id",
         "target",
         F.cardinality("vec").cast("long").alias("n_terms"),
@@ -483,14 +492,19 @@ def model_vocabulary(spark, sf_dir):
     return terms.select("term", "tf", "df", F.round(weight, DIGITS).alias("idf"))
 
 
-@lru_cache(maxsize=1)
-def _fitted(application: str, spark: SparkSession, sf_dir: str):
+def _model(spark, sf_dir):
     return textmodel.fit(_training(spark, sf_dir))
 
 
-def _model(spark, sf_dir):
-    """One fit serves the three model queries of a session."""
-    return _fitted(spark.sparkContext.applicationId, spark, sf_dir)
+@query
+def model_optimality(spark, sf_dir):
+    """What holds at the ridge's minimum only: the gradient's largest entry and the mean residual
+    are 0, and all vectors with a known term have length 1."""
+    return textmodel.optimality(_model(spark, sf_dir), _training(spark, sf_dir)).select(
+        F.abs(F.round("largest_gradient", 3)).alias("largest_gradient"),
+        F.abs(F.round("mean_residual", 4)).alias("mean_residual"),
+        r("unit_vectors"),
+    )
 
 
 @query

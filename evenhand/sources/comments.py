@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from evenhand.functions.numbers import lenient_number, nan_to_null
 
-BROADCAST_BLOCKS = 200_000  # offsets of so many file blocks take some tens of megabytes
 
 
 def csv_options(reader):
@@ -82,8 +81,8 @@ def with_file_order(df: DataFrame, column: str = "doc_index") -> DataFrame:
 
     ``df`` must come straight from a file scan. Rows are numbered inside each file block
     where they are read; a block's offset is the row count of the blocks before it. Only the
-    per-block counts (one row per block) are ordered. They are broadcast while their number
-    is small enough, so that the table itself is not shuffled.
+    per-block counts (one row per block) are ordered. Spark broadcasts them while they are
+    small, so that the table itself is not shuffled.
     """
     placed = df.select(
         "*",
@@ -98,8 +97,6 @@ def with_file_order(df: DataFrame, column: str = "doc_index") -> DataFrame:
     offsets = blocks.withColumn(
         "__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0))
     ).drop("__n")
-    if blocks.count() <= BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
     return (
         placed.join(offsets, ["__file", "__start"])
         .withColumn(column, F.col("__offset") + F.col("__id") - F.col("__first"))

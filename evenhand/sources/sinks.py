@@ -7,13 +7,22 @@ from pyspark.sql import DataFrame
 from evenhand import fixed_values as fv
 
 
+#: Fields are written as they are; the writer would cut white space at their ends.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_table(
     df: DataFrame, path: str, file_format: str = "parquet", mode: str = "errorifexists"
 ) -> None:
     """A result table without an index column; CSV gets a header."""
     writer = df.write.mode(mode)
     if file_format == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(**CSV_OPTIONS).csv(path)
     else:
         writer.format(file_format).save(path)
 
@@ -26,6 +35,6 @@ def write_variants(
         variants.select(*fv.VARIANT_COLUMNS, "stratum").write.mode(mode).partitionBy("stratum")
     )
     if file_format == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(**CSV_OPTIONS).csv(path)
     else:
         writer.format(file_format).save(path)

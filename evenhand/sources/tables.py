@@ -23,30 +23,15 @@ GROUPS = list(LEXICON)
 AUDIT_TERMS = {c: [LEXICON[g][0] for g in groups] for c, groups in CATEGORIES.items()}
 CATEGORY_WORDS = {c: [w for g in groups for w in LEXICON[g]] for c, groups in CATEGORIES.items()}
 
-SMALL_BYTES_PER_CORE = 32 << 20
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistributes a table that is too small to have a row group for every core.
-
-    The estimate of the scan's size decides; a large table keeps its scan partitions and is
-    never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, comment_text)"""
-    return spread(
-        read(spark, sf_dir, "documents").select(
-            F.col("doc_id").alias("id"), F.col("text").alias("comment_text")
-        )
+    return read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("comment_text")
     )
 
 

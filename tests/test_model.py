@@ -52,7 +52,7 @@ def test_features_equal_brute_force(train):
     assert [(r["term"], r["tf"], r["df"]) for r in got] == [(t, tf[t], df[t]) for t in kept]
 
     stages = textmodel.feature_stages(train, max_features=50)
-    names = stages[3].vocabulary
+    names = stages[1].vocabulary
     row = PipelineModel(stages).transform(train.filter("id = 7")).first()
     want = np.array(
         [grams[7].count(t) * (np.log((200 + 1) / (df[t] + 1)) + 1) for t in names]
@@ -61,6 +61,17 @@ def test_features_equal_brute_force(train):
     assert [c for c in row.asDict() if c.startswith("__")] == []
 
 
+def test_ridge_fails_without_convergence(train):
+    rows = spark_rows(train)
+    with pytest.raises(RuntimeError, match="no convergence"):
+        textmodel.ridge(rows, 3, max_iterations=1)
+
+
+def spark_rows(train):
+    data = [([0, 1], [1.0, 2.0], 1.0), ([1, 2], [3.0, 1.0], 0.0), ([0, 2], [2.0, 5.0], 2.0), ([0], [1.0], 7.0)]
+    return train.sparkSession.createDataFrame(data, "indices array<int>, values array<double>, label double")
+
+
 def test_split_is_deterministic(train):
     tr, te = textmodel.split(train)
     _, again = textmodel.split(train.repartition(7))

@@ -102,3 +102,13 @@ def test_exploration_and_fairness_audit(spark):
     assert audit.count() == 117
     assert audit.filter("local_score is null").count() == 0
     assert audit.filter("external_score is not null").count() == 1
+
+
+def test_csv_sink_keeps_white_space_and_quotes(spark, tmp_path):
+    from evenhand.sources import sinks
+
+    texts = ["  lead and trail \t", '"quoted" "', "line\nbreak ", " ", "a,b", "\ttab"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, comment_text string")
+    sinks.write_table(df, str(tmp_path / "t"), "csv")
+    back = {r["id"]: r["comment_text"] for r in src.csv_rows(spark, str(tmp_path / "t")).collect()}
+    assert back == {str(i): t for i, t in enumerate(texts)}

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from evenhand.operators import tfidf
 from evenhand.plans import audits
-from test_functions import python_tokens
 
 DOCS = [
-    "Common common rare don't", "", "the and of", "common words dont here", "common no break dont",
+    "Common common rare don't", "", "the and of", "common words dont here", "common no\u00a0break dont",
     "words words words", "words again", None, "unique common",
 ]
+COUNTS = [
+    Counter(common=2, rare=1, dont=1), Counter(), Counter(), Counter(common=1, words=1, dont=1, here=1),
+    Counter({"common": 1, "no": 1, "break": 1, "dont": 1}), Counter(words=3), Counter(words=1, again=1), Counter(), Counter(unique=1, common=1),
+]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +24,7 @@ def docs(spark):
 
 
 def brute(min_df=3):
-    counts = [Counter(python_tokens(t)) for t in DOCS]
+    counts = COUNTS
     df = Counter(term for c in counts for term in c)
     n = len(DOCS)
 
@@ -39,11 +42,11 @@ def test_frequency_and_stats(docs):
     assert tuple(tfidf.corpus_stats(docs, frequency).first()) == (len(DOCS), len(df))
 
 
-@pytest.mark.parametrize("hot_terms", [1, 10_000])
+@pytest.mark.parametrize("hot_terms", [4, 10_000])
 def test_long_weights_equal_brute_force(docs, monkeypatch, hot_terms):
     original = tfidf.with_frequency
     monkeypatch.setattr(
-        tfidf, "with_frequency", lambda p, f, k: original(p, f, k, hot_terms=hot_terms, salts=3)
+        tfidf, "with_frequency", lambda p, f, k: original(p, f, k, hot_terms=hot_terms)
     )
     counts, df, idf = brute()
     want = {
@@ -81,7 +84,7 @@ def test_term_frequencies_sum_to_one(docs):
 
 def test_lookup(docs, spark):
     counts, _, idf = brute()
-    asked = [(0, " Common "), (0, "rare"), (0, "absent"), (1, "common"), (5, "WORDS"), (99, "common"), (0, "common")]
+    asked = [(0, "\tCommon\u00a0\n"), (0, "rare"), (0, "absent"), (1, "common"), (5, "WORDS"), (99, "common"), (0, "common")]
     requests = spark.createDataFrame(asked, "id long, term string")
     got = {(r["id"], r["term"]): r["tfidf"] for r in tfidf.lookup(requests, docs).collect()}
     assert got == pytest.approx(
@@ -99,3 +102,28 @@ def test_lookup(docs, spark):
 def test_top_terms_of_first_documents(docs):
     rows = audits.first_document_terms(docs, n=4, k=1).collect()
     assert {r["id"]: r["term"] for r in rows} == {0: "common", 3: "dont"}
+
+
+@pytest.mark.parametrize("term", ["all", "longword" * 10])
+def test_a_term_of_all_documents_is_spread(spark, term):
+    """Its rows meet in the join by shuffle under as many keys as there are documents."""
+    docs = spark.range(400).select("id", F.lit(f"{term} other").alias("comment_text"))
+    frequency = tfidf.document_frequency(docs)
+    pairs = tfidf.term_counts(docs).filter(F.col("term") == term)
+    found = tfidf.with_frequency(pairs, frequency, "id")
+    assert found.filter("df = 400").count() == 400
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(id" in plan and "pmod" not in plan
+
+
+def test_labels_join_vectors_not_texts(spark, sf_dir):
+    from evenhand.plans import workload
+
+    plan = workload.tfidf_vectors(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and "text" in plan
+    # every exchange below a join carries terms or ids: the text ends where it is cut into words
+    physical = workload.tfidf_vectors(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for line in physical.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "comment_text" not in line
