@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as contract
 from oracle_compare import connect, differences
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+from evenhand.plans.oracles import ORACLES
+from evenhand.plans.workload import QUERIES
+
 PYTHON_NODES = re.compile(r"BatchEvalPython|ArrowEvalPython|MapInArrow|MapInPandas|CartesianProduct")
 
 
@@ -15,10 +16,17 @@ def plan(df):
 
 
 def test_keys():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {
-        "tfidf_vectors", "model_scores", "model_top_terms", "model_identity_coefs",
-    }
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+    # these hold coefficients of the solved system; model_optimality checks the solution
+    assert set(QUERIES) - set(ORACLES) == {"model_scores", "model_top_terms", "model_identity_coefs"}
+
+
+def test_extreme_coefficients_are_ordered(spark, sf_dir):
+    rows = QUERIES["model_top_terms"](spark, sf_dir).collect()
+    for side, sign in (("higher", -1), ("lower", 1)):
+        own = [sign * r["coef"] for r in rows if r["side"] == side]
+        assert len(own) == 20 and own == sorted(own)
 
 
 def test_entry(spark, sf_dir):
