@@ -96,7 +96,7 @@ def _number(stream: Column, place: Column, below: int) -> Column:
 
 
 def _pick(values: list[str], number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), number + 1)
+    return F.element_at(F.split(F.lit(" ".join(values)), " "), number + 1)
 
 
 def _by_character(mention: Column, stream: Column, place: Column, hexes: Column) -> Column:
@@ -171,7 +171,8 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     settled = None
     for _ in range(MOST_ATTEMPTS):
         stream = _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))
-        drawn = pending.withColumn("made", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("sample"), stream)))
+        drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("sample"), stream))
+        drawn = drawn.withColumn("made", canonical(F.col("kind"), F.col("drawn"))).drop("drawn")
         taken = originals if settled is None else originals.union(settled.select("kind", "made"))
         free = drawn.join(taken.withColumn("used", F.lit(True)).distinct(), ["kind", "made"], "left")
         first = F.row_number().over(W.partitionBy("kind", "made").orderBy("canon")) == 1
