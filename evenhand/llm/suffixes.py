@@ -394,12 +394,14 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", keep
     )
     copies = rows.groupBy("key").agg(F.count("*").alias("n"))
     texts = docs.select(
-        F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))).alias("key"), F.col(text).alias("text")
+        F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))).alias("key"),
+        F.col(text).alias("text"),
+        F.col(id).alias("doc_id"),
     )
-    found = _repeated(_offers(texts)).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
+    found = _repeated(_offers(texts.select("key", "text"))).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
     wanted = checkpoint(found.join(copies, "key"))
     chosen = checkpoint(
-        lookup(texts.withColumn("length", F.length("text")), wanted.withColumn("copies", F.col("n")), "key", "n", ["length"], "inner")
+        lookup(texts, wanted.withColumn("copies", F.col("n")), "key", "n", ["doc_id"], "inner").drop("doc_id")
     )
     runs = checkpoint(_sorted_buckets(_contexts(chosen)))
     digests = runs.filter("digest is not null")

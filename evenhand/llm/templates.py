@@ -41,9 +41,13 @@ def leaf(line: Column) -> Column:
     return F.when(clean != "", F.xxhash64(count, head))
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS
+) -> DataFrame:
     """(key, n, places): by text key, the 0-based lines to drop; n rows have that text."""
-    keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    keyed = docs.select(
+        text_key(F.col(text)).alias("key"), F.col(text).alias("text"), F.col(id).alias("doc_id")
+    )
     keyed = keyed.filter(F.col("text").isNotNull())
     texts = checkpoint(
         keyed.select("key", F.transform(lines(F.col("text")), leaf).alias("leaves"))
@@ -65,7 +69,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS)
         .groupBy("key")
         .agg(F.first("n").alias("n"), F.collect_list(F.struct("place", "leaf")).alias("wanted"))
     )
-    held = lookup(keyed, wanted.withColumn("copies", F.col("n")), "key", "n", ["text"], "inner")
+    held = lookup(keyed, wanted.withColumn("copies", F.col("n")), "key", "n", ["doc_id"], "inner")
     split = held.select("key", "copies", "wanted", lines(F.col("text")).alias("lines"))
     candidates = checkpoint(
         split.select("key", "copies", F.explode(
@@ -122,7 +126,7 @@ def drop_template_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     documents. Ids are only carried along. An empty table gives no rows.
     """
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("key"))
-    bad = checkpoint(dropped_lines(docs, text, min_docs))
+    bad = checkpoint(dropped_lines(docs, id, text, min_docs))
     joined = lookup(source, bad, "key", "n", ["doc_id"])
     split = joined.select("doc_id", "text", "places", lines(F.col("text")).alias("lines"))
     kept = F.filter("lines", lambda _, i: ~F.array_contains("places", i))
