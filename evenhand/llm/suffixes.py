@@ -22,6 +22,7 @@ another text or in the same one. All whole texts are searched.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,8 +95,8 @@ def _bytes(value) -> bytes:
 
 
 def _offers(texts: DataFrame) -> DataFrame:
-    """(hash, key, sure): per task each hash once; where a task has a hash again, its texts are
-    sure and one row without a key stands for the hash."""
+    """(hash, key, sure, times): per task each hash once; where a task has a hash again, its texts
+    are sure (with their number of places) and one row without a key stands for the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, numbers, keys = [], [], []
@@ -115,30 +116,33 @@ def _offers(texts: DataFrame) -> DataFrame:
         sizes = np.diff(np.r_[np.flatnonzero(new), len(new)])
         again = np.repeat(sizes > 1, sizes)
         own = new | np.r_[True, numbers[1:] != numbers[:-1]]
+        places = np.zeros(len(own), np.int64)
+        places[own] = np.diff(np.r_[np.flatnonzero(own), len(own)])
         keys = pa.array(keys, pa.binary())
         named = lambda some: keys.take(pa.array(numbers[some]))
-        yield from rows_of(hashes[~again], named(~again), False)
-        yield from rows_of(hashes[again & own], named(again & own), True)
-        yield from rows_of(hashes[again & new], pa.nulls(int((again & new).sum()), pa.binary()), False)
-
-    def rows_of(hashes: np.ndarray, keys: pa.Array, sure: bool) -> Iterator[pa.RecordBatch]:
-        columns = [pa.array(hashes), keys, pa.array(np.full(len(hashes), sure))]
-        rows = pa.RecordBatch.from_arrays(columns, ["hash", "key", "sure"])
+        for some, sure in ((~again, False), (again & own, True)):
+            yield from rows_of(hashes[some], named(some), sure, places[some])
+        some = again & new
+        yield from rows_of(hashes[some], pa.nulls(int(some.sum()), pa.binary()), False, places[some])
+
+    def rows_of(hashes: np.ndarray, keys: pa.Array, sure: bool, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array(hashes), keys, pa.array(np.full(len(hashes), sure)), pa.array(times)]
+        rows = pa.RecordBatch.from_arrays(columns, ["hash", "key", "sure", "times"])
         for start in range(0, rows.num_rows, 1 << 16):
             yield rows.slice(start, 1 << 16)
 
-    return texts.mapInArrow(run, "hash long, key binary, sure boolean")
+    return texts.mapInArrow(run, "hash long, key binary, sure boolean, times long")
 
 
 def _repeated(offers: DataFrame) -> DataFrame:
-    """(key, hash): grams that occur again."""
+    """(key, hash, times): grams that occur again, with their places in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             sure = batch.filter(batch.column(2))
             if sure.num_rows:
-                yield sure.select(["key", "hash"])
+                yield sure.select(["key", "hash", "times"])
             rows = pa.Table.from_batches([batch.filter(pc.invert(batch.column(2)))])
             held = rows if held is None else pa.concat_tables([held, rows])
             hashes = held.column(0).to_numpy()
@@ -160,29 +164,41 @@ def _repeated(offers: DataFrame) -> DataFrame:
         sizes = np.diff(np.r_[starts, len(hashes)])
         stand_in = np.add.reduceat(unsure_key.astype(np.int64), starts) > 0
         keep = np.repeat((sizes > 1) | stand_in, sizes) & ~unsure_key
-        yield from rows.filter(pa.array(keep)).select(["key", "hash"]).to_batches()
+        yield from rows.filter(pa.array(keep)).select(["key", "hash", "times"]).to_batches()
 
     # rows that are sure need no company: they are dealt by their key
     dealt = offers.withColumn("deal", F.when(F.col("sure"), F.xxhash64("key", "hash")).otherwise(F.col("hash")))
     return (
         dealt.repartition("deal")
         .sortWithinPartitions("hash")
-        .select("hash", "key", "sure")
-        .mapInArrow(run, "key binary, hash long")
+        .select("hash", "key", "sure", "times")
+        .mapInArrow(run, "key binary, hash long, times long")
     )
 
 
 # ------------------------------------------------------------------ 2. sorting
 
 
+def _in_parts(repeated: DataFrame) -> DataFrame:
+    """(key, grams): by text the repeated grams (hash, parts); a bucket of more than PART_ROWS
+    places has so many parts, others have parts 0."""
+    counts = repeated.groupBy("hash").agg(F.sum("times").alias("places"), F.count("*").alias("n"))
+    large = counts.filter(F.col("places") > PART_ROWS).select(
+        "hash", "n", F.ceil(F.col("places") / PART_ROWS).cast("int").alias("parts")
+    )
+    found = lookup(repeated, checkpoint(large), "hash", "n", ["key"])
+    gram = F.struct("hash", F.coalesce("parts", F.lit(0)).alias("parts"))
+    return found.groupBy("key").agg(F.collect_set(gram).alias("grams"))
+
+
 def _contexts(chosen: DataFrame) -> DataFrame:
-    """(hash, key, at, before, after, context): the bytes of all suffixes at one repeated gram.
+    """(hash, part, key, at, before, after, context): the bytes of all suffixes at one repeated gram.
     They start `before` to `after` bytes ahead of the gram; `at` is the place of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            out = [[], [], [], [], [], []]
+            out = [[] for _ in range(7)]
             for key, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 key = key.as_py()
                 if key in seen:
@@ -190,24 +206,26 @@ def _contexts(chosen: DataFrame) -> DataFrame:
                 seen.add(key)
                 data = _bytes(text)
                 hashes, grams, first, last = selections(data)
-                some = np.isin(hashes, wanted.values.to_numpy())
+                names, parts = (wanted.values.field(i).to_numpy() for i in range(2))
+                some = np.isin(hashes, names)
+                cut = dict(zip(names[parts > 0].tolist(), parts[parts > 0].tolist(), strict=True))
                 for h, g, a, b in zip(hashes[some].tolist(), grams[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
-                    for values, new in zip(out, (h, key, a, g - a, g - b, data[a : b + LENGTH]), strict=True):
+                    part = zlib.crc32(b"%d" % a, zlib.crc32(key)) % cut[h] if h in cut else -1
+                    for values, new in zip(out, (h, part, key, a, g - a, g - b, data[a : b + LENGTH]), strict=True):
                         values.append(new)
                 if len(out[0]) >= BLOCK_ROWS:
                     yield rows_of(out)
-                    out = [[], [], [], [], [], []]
+                    out = [[] for _ in range(7)]
             if out[0]:
                 yield rows_of(out)
 
     def rows_of(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["hash", "key", "at", "before", "after", "context"]
-        )
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["hash", "part", "key", "at", "before", "after", "context"]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
-    return chosen.select("key", "text", "hashes").mapInArrow(
-        run, "hash long, key binary, at long, before int, after int, context binary"
+    return chosen.select("key", "text", "grams").mapInArrow(
+        run, "hash long, part int, key binary, at long, before int, after int, context binary"
     )
 
 
@@ -274,12 +292,6 @@ def repeated_suffixes(bucket: np.ndarray, before: np.ndarray, after: np.ndarray,
 def _sorted_buckets(contexts: DataFrame) -> DataFrame:
     """(key, start, stop, digest): found suffix starts [start, stop), without a digest; with one
     for single suffixes of large buckets that need other parts of the bucket."""
-    counts = contexts.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > PART_ROWS)
-    large = counts.select("hash", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
-    dealt = contexts.join(large, "hash", "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("key", "at"), F.col("parts"))).cast("int")
-    )
-    columns = ["hash", "part", "key", "at", "before", "after", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -352,8 +364,7 @@ def _sorted_buckets(contexts: DataFrame) -> DataFrame:
 
     settled: set[bytes] = set()  # digests of found suffixes that this block has offered to other parts
     return (
-        dealt.select(*columns)
-        .repartition("hash", "part")
+        contexts.repartition("hash", "part")
         .sortWithinPartitions("hash", "part")
         .mapInArrow(run, "key binary, start long, stop long, digest binary")
     )
@@ -398,8 +409,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", keep
         F.col(text).alias("text"),
         F.col(id).alias("doc_id"),
     )
-    found = _repeated(_offers(texts.select("key", "text"))).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
-    wanted = checkpoint(found.join(copies, "key"))
+    repeated = checkpoint(_repeated(_offers(texts.select("key", "text"))))
+    wanted = checkpoint(_in_parts(repeated).join(copies, "key"))
     chosen = checkpoint(
         lookup(texts, wanted.withColumn("copies", F.col("n")), "key", "n", ["doc_id"], "inner").drop("doc_id")
     )
