@@ -57,3 +57,12 @@ def test_likeness_tells_edits_from_strangers(spark, monkeypatch):
     found = imatch.fingerprint_pairs(df).collect()
     edited = sum(r.near_edited for r in found) / 150
     assert edited > 0.2 and sum(r.near_next for r in found) / 150 < edited / 3
+
+
+def test_whole_band_and_short_texts(spark):
+    """A band of 5,000 terms stays whole; a text of two common terms has a print of its terms."""
+    rows = [(i, " ".join(f"t{(i * 100 + k) % 5000}" for k in range(100)) + (" the and" if i % 2 else "")) for i in range(100)]
+    docs = spark.createDataFrame([*rows, (100, "and the"), (101, "The: and!")], "doc_id long, text string")
+    assert imatch.lexicon(docs).count() == 5000
+    found = {r.doc_id: r.fingerprint for r in imatch.fingerprint_pairs(docs).collect()}
+    assert found[100] == found[101] and not any(p.startswith("text:") for p in found.values())
