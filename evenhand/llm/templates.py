@@ -4,7 +4,8 @@ A line is led through a tree of fixed depth: number of tokens, then its first DE
 (tokens with digits count as variable). In a leaf that many documents reach, a token is fixed
 where at least `min_docs` documents have it at that place, other places are variable fields.
 The line's template is its fixed tokens with fields between. Lines whose template is at least
-half fixed and recurs in `min_docs` documents are dropped, wherever they stand.
+half fixed and recurs in `min_docs` documents are dropped, wherever they stand. Lines of LONG_TOKENS
+tokens or more, which do not recur by chance, need LONG_DOCS documents in all these places.
 
 Only DataFrame functions are used. Leaves are counted as hashes; the tokens of a line are looked at
 only if its leaf recurs.
@@ -19,6 +20,8 @@ from evenhand.llm.common import checkpoint, lookup, text_key
 
 DEPTH = 3
 MIN_DOCS = 10
+LONG_TOKENS = 20
+LONG_DOCS = 2
 FIXED_SHARE = 0.5
 FIELD = "<*>"
 
@@ -34,15 +37,22 @@ def tokens(line: Column) -> Column:
 
 
 def leaf(line: Column) -> Column:
-    """Hash of the leaf of a line; null for blank lines, which have no tokens."""
+    """Hash of the leaf of a line, odd for long lines; null for blank lines, which have no tokens."""
     clean = F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
     head = F.regexp_replace(F.substring_index(clean, " ", DEPTH), r"[^ ]*[0-9][^ ]*", FIELD)
     count = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
-    return F.when(clean != "", F.xxhash64(count, head))
+    even = F.xxhash64(count, head).bitwiseAND(F.lit(-2))
+    return F.when(clean != "", even + F.when(count + 1 >= LONG_TOKENS, 1).otherwise(0))
+
+
+def needed(min_docs: int | None) -> Column:
+    """Documents in which something of a `leaf` has to recur."""
+    long_line = F.col("leaf").bitwiseAND(F.lit(1)) == 1
+    return F.when(long_line, LONG_DOCS).otherwise(MIN_DOCS) if min_docs is None else F.lit(min_docs)
 
 
 def dropped_lines(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS
+    docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int | None = None
 ) -> DataFrame:
     """(key, n, places): by text key, the 0-based lines to drop; n rows have that text."""
     keyed = docs.select(
@@ -59,7 +69,7 @@ def dropped_lines(
         .filter("leaf is not null")
         .groupBy("leaf")
         .agg(F.sum("n").alias("docs"), F.count("*").alias("uses"))
-        .filter(F.col("docs") >= min_docs)
+        .filter(F.col("docs") >= needed(min_docs))
     )
     # `uses` counts texts; a text may use a leaf in several lines, which only moves the hot border
     common = checkpoint(counted)
@@ -92,7 +102,7 @@ def dropped_lines(
     )
     fields = by_line.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
     common_tokens = (
-        fields.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs)
+        fields.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= needed(min_docs))
     )
     fixed = (
         fields.join(common_tokens.filter(F.col("token") != FIELD), ["leaf", "place", "token"])
@@ -103,7 +113,7 @@ def dropped_lines(
         F.size("fixed") >= FIXED_SHARE * F.size("tokens")
     ).select("leaf", "line", "uses", "docs", F.xxhash64("fixed").alias("template"))
     shaped = checkpoint(shaped)
-    recurring = shaped.groupBy("leaf", "template").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs)
+    recurring = shaped.groupBy("leaf", "template").agg(F.sum("docs").alias("all")).filter(F.col("all") >= needed(min_docs))
     bad = shaped.join(recurring, ["leaf", "template"]).select(
         F.struct("leaf", "line").alias("which"), "uses"
     )
@@ -118,11 +128,11 @@ def dropped_lines(
     return found.groupBy("key").agg(F.first("copies").alias("n"), F.collect_set("place").alias("places"))
 
 
-def drop_template_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_template_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped), one row per row of `docs`.
 
     Lines end at newlines; blank lines are never dropped. A null text stays null with no lines,
-    an empty one has one blank line. Rows of equal text lose equal lines and count as so many
+    an empty one has one blank line. `min_docs`, if given, holds for lines of any length. Rows of equal text lose equal lines and count as so many
     documents. Ids are only carried along. An empty table gives no rows.
     """
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("key"))

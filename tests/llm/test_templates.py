@@ -63,3 +63,11 @@ def test_against_brute_force(spark, odd_rows, no_docs):
     assert got == naive(rows, 6)
     assert sum(g[3] for g in got) > 80
     assert tp.drop_template_lines(no_docs).count() == 0
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    long_line, short_line = prose(1, 60), prose(2, 12)
+    texts = [f"{prose(50 + i, 60)}\n{long_line if i < 2 else prose(90 + i, 60)}\n{short_line}" for i in range(9)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in tp.drop_template_lines(rows).collect()}
+    assert found == {i: t.replace(f"{long_line}\n", "") for i, t in enumerate(texts)}
