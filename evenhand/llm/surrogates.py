@@ -128,16 +128,22 @@ def _name(name: Column, kind: Column, stream: Column, start: int) -> Column:
     return F.when((F.upper(name) == name) & (F.length(name) > 1), F.upper(made)).otherwise(F.initcap(made))
 
 
-def surrogate(kind: Column, mention: Column, stream: Column) -> Column:
-    """The replacement of one mention."""
+def code_digits(mention: Column) -> Column:
+    """Length of the country code that a phone mention shows, null where it shows none."""
+    return F.nullif(F.length(F.regexp_extract(mention, r"^\+(\d{1,3})(?=[ .(-])", 1)), F.lit(0))
+
+
+def surrogate(kind: Column, mention: Column, stream: Column, code: Column) -> Column:
+    """The replacement of one mention. `code` digits of a phone number stay, the same for all its mentions."""
     digit_rank = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), r"[^\d]", ""))
-    code = F.regexp_extract(mention, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substring(mention, F.length(code) + 1, F.lit(64))
-    rest_rank = lambda i: F.length(F.regexp_replace(F.substring(rest, F.lit(1), i), r"[^\d]", ""))
     no = F.lit(False)
     same = lambda i: i
     flat = lambda i: F.length(F.replace(F.substring(mention, F.lit(1), i), F.lit(" "), F.lit("")))
 
+    def phone_digit(c: Column, i: Column) -> Column:
+        drawn = c.rlike("[0-9]") & (digit_rank(i) >= code)
+        return F.when(drawn, _number(stream, digit_rank(i), 10).cast("string")).otherwise(c)
+
     def octet(o: Column, i: Column) -> Column:
         return (
             F.when(F.length(o) == 1, _number(stream, i, 10))
@@ -156,7 +162,7 @@ def surrogate(kind: Column, mention: Column, stream: Column) -> Column:
         F.when(kind == "email", F.concat(_by_character(before_top, stream, same, no), top))
         .when(kind == "ip", F.array_join(F.transform(F.split(mention, r"\."), octet), "."))
         .when(kind.isin("male", "female"), F.concat(title, given, _name(F.element_at(names, -1), kind, stream, 0)))
-        .when(kind == "phone", F.concat(code, _by_character(rest, stream, rest_rank, no)))
+        .when(kind == "phone", F.array_join(F.transform(F.split(mention, ""), phone_digit), ""))
         .when(kind.isin("card", "ssn"), _by_character(mention, stream, digit_rank, no))
         .when(kind == "iban", F.concat(F.substring(mention, 1, 2), _by_character(F.substring(mention, F.lit(3), F.lit(64)), stream, lambda i: flat(i + 2), no)))
         .otherwise(_by_character(mention, stream, same, mention.rlike(r"^[0-9A-Fa-f]+$")))
@@ -164,24 +170,24 @@ def surrogate(kind: Column, mention: Column, stream: Column) -> Column:
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon, attempt) of distinct (kind, canon), so that no two entities of a kind share a
+    """(kind, canon, attempt, code) of distinct (kind, canon), so that no two entities of a kind share a
     surrogate and no surrogate is an entity of its kind."""
-    pending = entities.select("kind", "canon", "sample").withColumn("attempt", F.lit(0))
+    pending = entities.select("kind", "canon", "sample", "code").withColumn("attempt", F.lit(0))
     originals = entities.select("kind", F.col("canon").alias("made"))
     settled = None
     for _ in range(MOST_ATTEMPTS):
         stream = _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))
-        drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("sample"), stream))
+        drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("sample"), stream, F.col("code")))
         drawn = drawn.withColumn("made", canonical(F.col("kind"), F.col("drawn"))).drop("drawn")
         taken = originals if settled is None else originals.union(settled.select("kind", "made"))
         free = drawn.join(taken.withColumn("used", F.lit(True)).distinct(), ["kind", "made"], "left")
         first = F.row_number().over(W.partitionBy("kind", "made").orderBy("canon")) == 1
         judged = checkpoint(free.withColumn("good", F.col("used").isNull() & first))
-        good = judged.filter("good").select("kind", "canon", "attempt", "made")
+        good = judged.filter("good").select("kind", "canon", "attempt", "made", "code")
         settled = good if settled is None else settled.union(good)
-        pending = judged.filter("not good").select("kind", "canon", "sample", (F.col("attempt") + 1).alias("attempt"))
+        pending = judged.filter("not good").select("kind", "canon", "sample", "code", (F.col("attempt") + 1).alias("attempt"))
         if pending.isEmpty():
-            return settled.select("kind", "canon", "attempt")
+            return settled.select("kind", "canon", "attempt", "code")
     raise RuntimeError(f"surrogates still collide after {MOST_ATTEMPTS} draws")
 
 
@@ -205,11 +211,15 @@ def replace_entities(docs: DataFrame, key: str = KEY, id: str = "doc_id", text:
     pairs = texts.select("key", F.explode("own").alias("mention"))
     known = pairs.groupBy("mention").agg(F.count("*").alias("uses")).withColumn("kind", kind_of(F.col("mention")))
     known = checkpoint(known.withColumn("canon", canonical(F.col("kind"), F.col("mention"))))
-    entities = known.groupBy("kind", "canon").agg(F.min("mention").alias("sample"))
+    entities = known.groupBy("kind", "canon").agg(
+        F.min("mention").alias("sample"), F.coalesce(F.min(code_digits(F.col("mention"))), F.lit(0)).alias("code")
+    )
     drawn = known.join(assign(checkpoint(entities), key), ["kind", "canon"])
     stream = _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))
     changes = checkpoint(
-        drawn.select("mention", "uses", surrogate(F.col("kind"), F.col("mention"), stream).alias("made"))
+        drawn.select(
+            "mention", "uses", surrogate(F.col("kind"), F.col("mention"), stream, F.col("code")).alias("made")
+        )
     )
     by_text = (
         lookup(pairs, changes, "mention", "uses", ["key"])

@@ -55,3 +55,12 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     got = sorted((str(r.doc_id), str(r.text)) for r in sg.replace_entities(odd_docs).collect())
     assert got == sorted((str(r[0]), str(r[1])) for r in odd_rows)
     assert sg.replace_entities(no_docs).count() == 0
+
+
+def test_spellings_of_a_phone_number_share_its_digits(spark):
+    spellings = ["+1 803-555-5351", "+18035555351", "+1 (803) 555-5351", "+44 20 7946 0958", "+442079460958"]
+    got = run(spark, [f"call {s} now" for s in spellings])
+    made = [re.sub(r"\D", "", got[i].text) for i in range(5)]
+    assert made[0] == made[1] == made[2] != re.sub(r"\D", "", spellings[0])
+    assert made[3] == made[4] != re.sub(r"\D", "", spellings[3])
+    assert got[0].text.startswith("call +1 ") and got[3].text.startswith("call +44 ")
