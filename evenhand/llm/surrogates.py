@@ -3,7 +3,7 @@
 Detected entities (mail and network addresses, card, account, social security and phone numbers,
 secrets, names behind a form of address) are replaced by made-up ones of the same type and
 format: digits by digits, letters by letters of the same case, octets by octets of the same
-length, names by syllables of the same script with an ending of the same gender.
+length (where these are used up, of any length), names by syllables of the same script with an ending of the same gender.
 
 A surrogate is drawn from SHA-512 of the key, the type, the canonical entity and an attempt
 number. Mentions that differ only in case or punctuation have one canonical form, so they stay
@@ -23,6 +23,8 @@ from evenhand.llm.common import checkpoint, lookup, text_key
 
 KEY = "corpus-surrogates"
 MOST_ATTEMPTS = 40
+#: After every so many draws names, mail and network addresses have a larger space.
+WIDEN_AFTER = 4
 MALE = "Mr|Herr|Monsieur|Señor|Don|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Doña|госпожа"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -116,11 +118,13 @@ def _by_character(mention: Column, stream: Column, place: Column, hexes: Column)
     return F.array_join(F.transform(F.split(mention, ""), one), "")
 
 
-def _name(name: Column, kind: Column, stream: Column, start: int) -> Column:
-    """A name of syllables with the script, gender and capitals of `name`."""
+def _name(name: Column, kind: Column, stream: Column, start: int, more: Column) -> Column:
+    """A name of 3 and `more` syllables with the script, gender and capitals of `name`."""
 
     def of(script: str, gender: str) -> Column:
         parts = [_pick(_SYLLABLES[script], _number(stream, F.lit(start + i), 32)) for i in range(3)]
+        longer = F.transform(F.sequence(F.lit(0), more), lambda i: _pick(_SYLLABLES[script], _number(stream, i + 16, 32)))
+        parts.append(F.array_join(F.slice(longer, F.lit(1), more), ""))
         return F.concat(*parts, _pick(_ENDINGS[script, gender], _number(stream, F.lit(start + 3), 4)))
 
     made = F.when(name.rlike(r"\p{IsCyrillic}"), F.when(kind == "male", of("cyrillic", "male")).otherwise(of("cyrillic", "female")))
@@ -133,8 +137,10 @@ def code_digits(mention: Column) -> Column:
     return F.nullif(F.length(F.regexp_extract(mention, r"^\+(\d{1,3})(?=[ .(-])", 1)), F.lit(0))
 
 
-def surrogate(kind: Column, mention: Column, stream: Column, code: Column) -> Column:
-    """The replacement of one mention. `code` digits of a phone number stay, the same for all its mentions."""
+def surrogate(kind: Column, mention: Column, stream: Column, code: Column, attempt: Column) -> Column:
+    """The replacement of one mention. `code` digits of a phone number stay, the same for all its mentions.
+    Later attempts draw longer names and mail addresses and octets of any length."""
+    more = F.floor(attempt / WIDEN_AFTER).cast("int")
     digit_rank = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), r"[^\d]", ""))
     no = F.lit(False)
     same = lambda i: i
@@ -146,7 +152,8 @@ def surrogate(kind: Column, mention: Column, stream: Column, code: Column) -> Co
 
     def octet(o: Column, i: Column) -> Column:
         return (
-            F.when(F.length(o) == 1, _number(stream, i, 10))
+            F.when(more > 0, _number(stream, i, 256))
+            .when(F.length(o) == 1, _number(stream, i, 10))
             .when(F.length(o) == 2, _number(stream, i, 90) + 10)
             .otherwise(_number(stream, i, 156) + 100)
             .cast("string")
@@ -157,11 +164,11 @@ def surrogate(kind: Column, mention: Column, stream: Column, code: Column) -> Co
     title = F.regexp_extract(mention, rf"^(?:{MALE}|{FEMALE})\.? ", 0)
     names = F.split(F.substring(mention, F.length(title) + 1, F.length(mention)), " ")
     given_stream = F.sha2(F.concat(stream, F.lower(F.get(names, F.lit(0)))), 512)
-    given = F.when(F.size(names) > 1, F.concat(_name(F.get(names, F.lit(0)), kind, F.concat(given_stream, given_stream), 8), F.lit(" "))).otherwise("")
+    given = F.when(F.size(names) > 1, F.concat(_name(F.get(names, F.lit(0)), kind, F.concat(given_stream, given_stream), 8, F.lit(0)), F.lit(" "))).otherwise("")
     return (
-        F.when(kind == "email", F.concat(_by_character(before_top, stream, same, no), top))
+        F.when(kind == "email", F.concat(F.substring(stream, F.lit(201), more), _by_character(before_top, stream, same, no), top))
         .when(kind == "ip", F.array_join(F.transform(F.split(mention, r"\."), octet), "."))
-        .when(kind.isin("male", "female"), F.concat(title, given, _name(F.element_at(names, -1), kind, stream, 0)))
+        .when(kind.isin("male", "female"), F.concat(title, given, _name(F.element_at(names, -1), kind, stream, 0, more)))
         .when(kind == "phone", F.array_join(F.transform(F.split(mention, ""), phone_digit), ""))
         .when(kind.isin("card", "ssn"), _by_character(mention, stream, digit_rank, no))
         .when(kind == "iban", F.concat(F.substring(mention, 1, 2), _by_character(F.substring(mention, F.lit(3), F.lit(64)), stream, lambda i: flat(i + 2), no)))
@@ -177,7 +184,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     settled = None
     for _ in range(MOST_ATTEMPTS):
         stream = _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))
-        drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("sample"), stream, F.col("code")))
+        drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("sample"), stream, F.col("code"), F.col("attempt")))
         drawn = drawn.withColumn("made", canonical(F.col("kind"), F.col("drawn"))).drop("drawn")
         taken = originals if settled is None else originals.union(settled.select("kind", "made"))
         free = drawn.join(taken.withColumn("used", F.lit(True)).distinct(), ["kind", "made"], "left")
@@ -218,7 +225,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, id: str = "doc_id", text:
     stream = _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))
     changes = checkpoint(
         drawn.select(
-            "mention", "uses", surrogate(F.col("kind"), F.col("mention"), stream, F.col("code")).alias("made")
+            "mention", "uses", surrogate(F.col("kind"), F.col("mention"), stream, F.col("code"), F.col("attempt")).alias("made")
         )
     )
     by_text = (

@@ -64,3 +64,11 @@ def test_spellings_of_a_phone_number_share_its_digits(spark):
     assert made[0] == made[1] == made[2] != re.sub(r"\D", "", spellings[0])
     assert made[3] == made[4] != re.sub(r"\D", "", spellings[3])
     assert got[0].text.startswith("call +1 ") and got[3].text.startswith("call +44 ")
+
+
+def test_space_grows_where_a_format_is_over_full(spark):
+    """6,000 of the 10,000 addresses of one-digit octets."""
+    ips = [".".join(f"{i:04d}") for i in range(6000)]
+    got = run(spark, [" and ".join(ips[i : i + 100]) for i in range(0, 6000, 100)])
+    made = [ip for i in range(60) for ip in got[i].text.split(" and ")]
+    assert len(made) == len(set(made)) == 6000 and not set(ips) & set(made)
