@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenhand.llm import curriculum, decontamination, imatch, pseudo_likelihood, sharding, simhash, suffixes, surrogates, templates, toxicity
+from evenhand.llm import curriculum, decontamination, imatch, pieces, pseudo_likelihood, sharding, simhash, suffixes, surrogates, templates, toxicity
 from evenhand.llm.common import table
 
 
@@ -67,6 +67,13 @@ def op10_wu_manber_decontamination(spark, sf_dir):
     return decontamination.digest(found)
 
 
+def op11_backtracking_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +87,7 @@ QUERIES = {
         op8_curriculum_mix,
         op9_template_line_dedup,
         op10_wu_manber_decontamination,
+        op11_backtracking_pieces,
     )
 }
 ORACLES = {
