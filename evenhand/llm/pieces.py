@@ -72,6 +72,7 @@ class Model:
     bytes: tuple[int, ...]  # ids of the 256 bytes
     surfaces: tuple[bytes, ...]  # what an id stands for
     bound: frozenset[int]  # ids that begin with a space sign
+    marks: tuple[int, ...]  # ids that stand for no text
     begin: int
     end: int
     prefix: bool  # a space is put before a text
@@ -128,6 +129,7 @@ def read_model(path: str) -> Model:
         tuple(byte_ids[b] for b in range(256)),
         tuple(surfaces),
         frozenset(i for piece, i in ids.items() if piece.startswith(SPACE)),
+        tuple(i for i, kind in enumerate(kinds) if kind == CONTROL),
         spec.bos_id,
         spec.eos_id,
         rules.add_dummy_prefix,
@@ -267,14 +269,16 @@ class Encoder(dict):
 
 def decoded(ids: np.ndarray, model: Model) -> str:
     """The text of ids; of a space sign that begins the text, one is taken away. Bytes that are no
-    UTF-8 become one U+FFFD each, ids outside the vocabulary raise IndexError."""
-    listed = ids.tolist()
-    raw = b"".join(map(model.surfaces.__getitem__, listed))
-    if model.prefix and raw.startswith(b" "):
-        first = next(i for i in listed if model.surfaces[i])
-        if first in model.bound:
-            raw = raw[1:]
-    return text_of(raw)
+    UTF-8, also because a mark parts them, become one U+FFFD each; ids outside the vocabulary raise
+    IndexError."""
+    text, fresh = "", model.prefix
+    for run in np.split(ids, np.flatnonzero(np.isin(ids, model.marks))):
+        listed = run[np.isin(run[:1], model.marks).sum() :].tolist()  # a run begins with its mark
+        raw = b"".join(map(model.surfaces.__getitem__, listed))
+        if fresh and listed:
+            raw, fresh = raw[listed[0] in model.bound :], False
+        text += text_of(raw)
+    return text
 
 
 def text_of(raw: bytes) -> str:
