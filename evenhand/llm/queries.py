@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenhand.llm import curriculum, decontamination, imatch, pieces, pseudo_likelihood, sharding, simhash, suffixes, surrogates, templates, toxicity
+from evenhand.llm import curriculum, decontamination, imatch, interactions, pieces, pseudo_likelihood, sharding, simhash, suffixes, surrogates, templates, toxicity, whitening
 from evenhand.llm.common import table
 
 
@@ -74,6 +74,14 @@ def op11_backtracking_pieces(spark, sf_dir):
     return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
 
 
+def op12_posting_list_audit(spark, sf_dir):
+    return interactions.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spectrum_slicing(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,9 +96,12 @@ QUERIES = {
         op9_template_line_dedup,
         op10_wu_manber_decontamination,
         op11_backtracking_pieces,
+        op12_posting_list_audit,
+        op13_spectrum_slicing,
     )
 }
 ORACLES = {
     "op8_curriculum_mix": curriculum.ORACLE,
     "op10_wu_manber_decontamination": decontamination.sql_twin(),
+    "op12_posting_list_audit": interactions.ORACLE,
 }

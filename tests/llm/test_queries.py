@@ -13,7 +13,7 @@ from tests.llm.test_curriculum import filled
 from tests.llm.test_decontamination import naive as naive_hits
 from tests.llm.test_simhash import naive as naive_groups
 
-WHOLE = {"op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"}
+WHOLE = {"op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13"}
 
 
 def test_one_query_for_each_operator():
