@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
@@ -13,6 +14,7 @@ from evenhand.functions.text import preview, stable_hash
 from evenhand.operators import ranks
 from evenhand.operators.mentions import identity_long
 
+TIE_DIGITS = 12
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
@@ -182,6 +184,13 @@ def identity_summary(
     )
 
 
+def with_position(summary: DataFrame) -> DataFrame:
+    """Adds the place of every identity, highest mean first; means that differ by rounding errors
+    only are ordered by name. One row for each group, so one window may hold them all."""
+    order = W.orderBy(F.round("mean_toxicity", TIE_DIGITS).desc_nulls_last(), "identity")
+    return summary.withColumn("position", F.row_number().over(order))
+
+
 def band_samples(
     df: DataFrame,
     groups: Sequence[str],

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
 from evenhand.operators import ranks
+from evenhand.sources.shared import checkpointed
 
 STRATA = ["bottom", "middle", "top"]
 
@@ -16,6 +18,30 @@ def ranked(df: DataFrame, score: str, key: str) -> DataFrame:
     return df.orderBy(score, key)
 
 
+def with_position(ordered: DataFrame, column: str = "position") -> DataFrame:
+    """Adds the 1-based place of every row of a globally sorted table.
+
+    A sort leaves range partitions, so a row's place is the number of rows in the partitions before
+    plus its place in its own: no row passes a window over the whole table. The sorted rows are
+    kept in the shared folder, because a second sort would draw other borders. One row for each
+    partition is broadcast.
+    """
+    kept = checkpointed(ordered)
+    numbered = kept.select(
+        "*",
+        F.spark_partition_id().alias("__part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("__row"),
+    )
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = (
+        numbered.groupBy("__part")
+        .count()
+        .select("__part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+    )
+    place = F.col("__before") + F.col("__row") + 1
+    return numbered.join(F.broadcast(before), "__part").select(*ordered.columns, place.alias(column))
+
+
 def middle_range(n_rows: int, middle_n: int) -> tuple[int, int]:
     """Half-open rank range of ``middle_n`` rows centred on the median rank."""
     start = max(0, n_rows // 2 - middle_n // 2)

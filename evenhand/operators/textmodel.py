@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import logging
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizer,
@@ -17,6 +20,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
@@ -24,6 +28,12 @@ from evenhand.functions.text import model_terms_sql, stable_hash, term_runs
 from evenhand.functions.unnest import inline_rows
 from evenhand.operators import ranks
 
+LOG = logging.getLogger(__name__)
+BLOCK = 4_096  # numbers of a partial vector that travel together
+FAN_IN = 32  # pieces of a block that one task adds
+TIE_DIGITS = 9
+DENSE_FEATURES = 1_000  # features whose matrix of products fits the driver
+
 
 def in_test(key: Column, seed: int = fv.SPLIT_SEED) -> Column:
     """True for about a fifth of the keys; the same keys for any partitioning."""
@@ -95,85 +105,160 @@ def feature_stages(
     ]
 
 
+class Solution(NamedTuple):
+    coefs: np.ndarray
+    intercept: float
+    passes: int  # over the rows
+
+
+def total(
+    rows: DataFrame, n_parts: int, width: int, partial: Callable[[Iterable[pa.RecordBatch]], np.ndarray]
+) -> np.ndarray:
+    """Sum over all partitions of the vector of ``width`` numbers that ``partial`` makes of each.
+
+    Vectors are cut into blocks and added in a tree: a task of any level reads at most FAN_IN pieces
+    of a block at once, however many partitions the rows have. The driver gets one vector.
+    """
+
+    def cut(batches):
+        sums = partial(batches)
+        leaf = TaskContext.get().partitionId()
+        for block, start in enumerate(range(0, width, BLOCK)):
+            piece = sums[start : start + BLOCK]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([leaf]), pa.array([piece], pa.list_(pa.float64()))],
+                    ["block", "leaf", "sums"],
+                )
+
+    def add(key, pieces):
+        pieces = pieces.sort_by("leaf")  # one order of adding, so reruns agree to the last bit
+        sums = sum(np.asarray(piece.values) for piece in pieces["sums"])
+        leaf = pa.array([key[1].as_py()])
+        return pa.table({"block": pieces["block"][:1], "leaf": leaf, "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+    schema = "block long, leaf long, sums array<double>"
+    parts = rows.mapInArrow(cut, schema)
+    while True:
+        n_parts = -(-n_parts // FAN_IN)
+        joined = F.floor(F.col("leaf") / FAN_IN) if n_parts > 1 else F.lit(0).cast("long")
+        parts = parts.withColumn("joined", joined).groupBy("block", "joined").applyInArrow(add, schema)
+        if n_parts <= 1:
+            break
+    found, result = parts.toArrow(), np.zeros(width)
+    for block, sums in zip(found["block"].to_pylist(), found["sums"]):
+        result[block * BLOCK : block * BLOCK + BLOCK] = np.asarray(sums.values)
+    return result
+
+
+def _row_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index, value) of the batch's entries, and the labels."""
+    lists = batch.column(0)
+    lengths = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    return row, lists.flatten().to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(2).to_numpy()
+
+
+def _head(rows: DataFrame) -> tuple[int, float, int]:
+    """Number of rows, mean label, number of partitions."""
+    placed = rows.select("label", F.spark_partition_id().alias("part"))
+    counts = [F.count("*").alias("n"), F.avg("label").alias("mean"), (F.max("part") + 1).alias("parts")]
+    head = placed.agg(*counts).first()
+    if not head["n"]:
+        raise ValueError("no rows to fit a model to")
+    return head["n"], head["mean"], head["parts"]
+
+
 def ridge(
     rows: DataFrame,
     n_features: int,
     alpha: float = fv.RIDGE_ALPHA,
     tolerance: float = 1e-7,
     max_iterations: int = 1_000,
-) -> tuple[np.ndarray, float]:
+) -> Solution:
     """Coefficients and intercept of least squares plus alpha times the squared norm.
 
-    ``rows`` holds (indices, values, label). The centred normal equations are solved by
-    conjugate gradients: each step is one pass over the rows that multiplies by the matrix
-    and its transpose inside the tasks and adds the partial vectors by feature in a shuffle.
-    Only vectors of ``n_features`` numbers reach the driver. (LinearRegression works on
-    scaled features, where many rare terms make the same problem so badly conditioned that
-    it is far from the minimum after hundreds of steps.) Without convergence it fails. Each task
-    merges its rows into one partial vector, so rows are first brought to one partition per
-    core.
+    ``rows`` holds (indices, values, label). The centred normal equations are solved by conjugate
+    gradients, preconditioned with their diagonal: each step is one pass over the rows that
+    multiplies by the matrix and its transpose inside the tasks; partial vectors are added in a tree
+    (``total``). Only vectors of ``n_features`` numbers reach the driver. (LinearRegression works on
+    scaled features, where many rare terms make the same problem so badly conditioned that it is
+    far from the minimum after hundreds of steps.) Without convergence it fails. The number of
+    passes does not depend on the number of rows or tasks.
     """
-    rows = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    n, mean, n_parts = _head(rows)
 
-    def transposed_product(direction: np.ndarray | None) -> np.ndarray:
-        """X'(X direction); without a direction X'1 and X'label."""
+    def first_sums(batches):
+        """X'1, X'label and the squares of every feature."""
+        sums = np.zeros((3, n_features))
+        for batch in batches:
+            row, indices, values, labels = _row_lists(batch)
+            for out, weights in zip(sums, (values, values * labels[row], values * values)):
+                out += np.bincount(indices, weights, minlength=n_features)
+        return sums.ravel()
+
+    def product(direction: np.ndarray):
+        """X'(X direction)"""
 
         def partial(batches):
-            totals = np.zeros((2, n_features))
+            sums = np.zeros(n_features)
             for batch in batches:
-                lists = batch.column(0)
-                lengths = np.diff(lists.offsets.to_numpy())
-                indices = lists.flatten().to_numpy()
-                values = batch.column(1).flatten().to_numpy()
-                if direction is None:
-                    multipliers = [np.ones(len(lengths)), batch.column(2).to_numpy()]
-                else:
-                    row = np.repeat(np.arange(len(lengths)), lengths)
-                    multipliers = [
-                        np.bincount(row, values * direction[indices], minlength=len(lengths))
-                    ]
-                for total, multiplier in zip(totals, multipliers):
-                    total += np.bincount(
-                        indices, values * np.repeat(multiplier, lengths), minlength=n_features
-                    )
-            used = np.flatnonzero(totals.any(axis=0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used), pa.array(totals[0, used]), pa.array(totals[1, used])],
-                names=["feature", "first", "second"],
-            )
-
-        sums = (
-            rows.mapInArrow(partial, "feature long, first double, second double")
-            .groupBy("feature")
-            .agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
-            .toArrow()
-        )
-        result = np.zeros((2, n_features))
-        used = sums["feature"].to_numpy()
-        result[0, used], result[1, used] = sums["first"].to_numpy(), sums["second"].to_numpy()
-        return result
-
-    head = rows.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
-    column_sums, label_products = transposed_product(None)
-    means = column_sums / head["n"]
-    residual = label_products - column_sums * head["mean"]
-    coefs, direction = np.zeros(n_features), residual.copy()
-    size = start = residual @ residual
-    for _ in range(max_iterations):
-        if size <= tolerance**2 * start:
-            break
-        image = transposed_product(direction)[0]
+                row, indices, values, labels = _row_lists(batch)
+                image = np.bincount(row, values * direction[indices], minlength=len(labels))
+                sums += np.bincount(indices, values * image[row], minlength=n_features)
+            return sums
+
+        return total(rows, n_parts, n_features, partial)
+
+    column_sums, label_products, squares = total(rows, n_parts, 3 * n_features, first_sums).reshape(3, -1)
+    means = column_sums / n
+    diagonal = squares - column_sums * means + alpha
+    residual = label_products - column_sums * mean
+    coefs = np.zeros(n_features)
+    guided = residual / diagonal
+    direction, size = guided.copy(), residual @ guided
+    start, steps = residual @ residual, 0
+    while residual @ residual > tolerance**2 * start:
+        if steps == max_iterations:
+            left = (residual @ residual) ** 0.5
+            raise RuntimeError(f"no convergence in {steps} steps: residual {left:g}, first {start**0.5:g}")
+        image = product(direction)
         image += alpha * direction - column_sums * (means @ direction)
         step = size / (direction @ image)
         coefs += step * direction
         residual -= step * image
-        previous, size = size, residual @ residual
-        direction = residual + size / previous * direction
-    if size > tolerance**2 * start:
-        raise RuntimeError(
-            f"no convergence in {max_iterations} steps: residual {size**0.5:g}, first {start**0.5:g}"
-        )
-    return coefs, float(head["mean"] - means @ coefs)
+        guided = residual / diagonal
+        previous, size = size, residual @ guided
+        direction = guided + size / previous * direction
+        steps += 1
+    LOG.info("ridge: %d rows, %d features, %d passes", n, n_features, steps + 2)
+    return Solution(coefs, float(mean - means @ coefs), steps + 2)
+
+
+def normal_equations(rows: DataFrame, n_features: int, alpha: float = fv.RIDGE_ALPHA) -> Solution:
+    """The same minimum for a small vocabulary in closed form: two passes over the rows, whatever the
+    conditioning. The matrix of ``n_features`` squared numbers is added up like any other vector
+    (``total``) and solved on the driver, so more than DENSE_FEATURES features are refused."""
+    if n_features > DENSE_FEATURES:
+        raise ValueError(f"{n_features} features make too large a matrix: use ridge()")
+    n, mean, n_parts = _head(rows)
+    size = n_features + 2  # the features, a column of ones, the label
+
+    def products(batches):
+        sums = np.zeros((size, size))
+        for batch in batches:
+            row, indices, values, labels = _row_lists(batch)
+            dense = np.zeros((len(labels), size))
+            dense[row, indices] = values
+            dense[:, -2], dense[:, -1] = 1.0, labels
+            sums += dense.T @ dense
+        return sums.ravel()
+
+    sums = total(rows, n_parts, size * size, products).reshape(size, size)
+    means = sums[:-2, -2] / n
+    matrix = sums[:-2, :-2] - n * np.outer(means, means) + alpha * np.eye(n_features)
+    coefs = np.linalg.solve(matrix, sums[:-2, -1] - n * means * mean)
+    return Solution(coefs, float(mean - means @ coefs), 2)
 
 
 def linear_model(coefs: np.ndarray, intercept: float) -> LinearRegressionModel:
@@ -194,8 +279,9 @@ def fit(
     label: str = "target",
     alpha: float = fv.RIDGE_ALPHA,
     max_features: int = fv.VOCABULARY_SIZE,
+    closed_form: bool = False,
 ) -> PipelineModel:
-    """Pipeline from raw text to an unclipped ``prediction``."""
+    """Pipeline from raw text to an unclipped ``prediction``; ``closed_form`` for small vocabularies."""
     train = train.select(text, label).na.drop()
     stages = feature_stages(train, text, max_features)
     counter = next(s for s in stages if isinstance(s, CountVectorizerModel))
@@ -210,7 +296,8 @@ def fit(
         )
         .persist()
     )
-    coefs, intercept = ridge(rows, len(counter.vocabulary), alpha)
+    solve = normal_equations if closed_form else ridge
+    coefs, intercept, _ = solve(rows, len(counter.vocabulary), alpha)
     rows.unpersist()
     return PipelineModel([*stages, linear_model(coefs, intercept)])
 
@@ -261,11 +348,13 @@ def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def extreme_coefficients(coefs: DataFrame, k: int = fv.TOP_COEFFICIENTS) -> DataFrame:
-    """The k largest and the k smallest coefficients with their side and position."""
-    sides = []
-    for side, order in (("higher", F.desc("coef")), ("lower", F.asc("coef"))):
+    """(feature, coef, position, side): the k largest and the k smallest coefficients, the position
+    from 1, ties by term. Coefficients that differ by rounding errors only are ties."""
+    sides, value = [], F.round("coef", TIE_DIGITS)
+    for side, order in (("higher", value.desc()), ("lower", value.asc())):
         rows = coefs.orderBy(order, "feature").limit(k)
-        sides.append(rows.withColumn("side", F.lit(side)))
+        position = F.row_number().over(W.orderBy(order, "feature"))  # of k rows
+        sides.append(rows.withColumns({"position": position, "side": F.lit(side)}))
     return sides[0].unionByName(sides[1])
 
 

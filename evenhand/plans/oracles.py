@@ -8,8 +8,13 @@ first, so that neighbouring words do not share one, and halved again afterwards.
 from __future__ import annotations
 
 from evenhand import fixed_values as fv
-from evenhand.operators.counterfactual import category_of, swap_target
-from evenhand.sources.tables import AUDIT_TERMS, CATEGORIES, CATEGORY_WORDS, GROUPS, LEXICON
+from evenhand.sources.tables import (
+    AUDIT_TERMS,
+    CATEGORY_WORDS,
+    FREQUENT_LEXICON,
+    GROUPS,
+    LEXICON,
+)
 
 WORD = r"\p{L}\p{N}_"
 
@@ -42,6 +47,25 @@ def swap_sql(text: str, words: list[str], word: str) -> str:
 
 # ---------------------------------------------------------------- common tables
 
+#: The category and the swap target of each group, written out: the first other group of its category.
+CATEGORY = {
+    "g_ther": "c1",
+    "g_thon": "c1",
+    "g_thed": "c1",
+    "g_erin": "c2",
+    "g_anea": "c2",
+    "g_le": None,
+    "g_none": None,
+}
+TARGETS = {
+    "g_ther": "g_thon",
+    "g_thon": "g_ther",
+    "g_thed": "g_ther",
+    "g_erin": "g_anea",
+    "g_anea": "g_erin",
+    "g_le": "g_le",
+    "g_none": "g_none",
+}
 EVERY_WORD = [w for words in LEXICON.values() for w in words]
 TARGET_SYN = "CAST((doc_id * 37) % 101 AS DOUBLE) / 100"
 
@@ -53,7 +77,7 @@ def _hits(words) -> str:
 
 
 def _group_value(group: str) -> str:
-    category = category_of(group, CATEGORIES)
+    category = CATEGORY[group]
     if category is None:
         return f"CASE WHEN {_hits(LEXICON[group])} > 0 THEN 1.0 ELSE 0.0 END AS {group}"
     total = _hits(CATEGORY_WORDS[category])
@@ -101,25 +125,16 @@ strata AS (
 def _swapped_by_group() -> str:
     branches = []
     for group in GROUPS:
-        target = swap_target(group, CATEGORIES)
+        target = TARGETS[group]
         if target == group or not LEXICON[target]:
             continue
-        words = CATEGORY_WORDS[category_of(group, CATEGORIES)]
+        words = CATEGORY_WORDS[CATEGORY[group]]
         branches.append(f"WHEN '{group}' THEN {swap_sql('comment_text', words, LEXICON[target][0])}")
     return f"CASE grp {' '.join(branches)} ELSE comment_text END"
 
 
-TARGETS = {g: swap_target(g, CATEGORIES) for g in GROUPS}
 TARGET_CASE = "CASE grp " + " ".join(f"WHEN '{g}' THEN '{t}'" for g, t in TARGETS.items()) + " END"
-CATEGORY_CASE = (
-    "CASE grp "
-    + " ".join(
-        f"WHEN '{g}' THEN '{category_of(g, CATEGORIES)}'"
-        for g in GROUPS
-        if category_of(g, CATEGORIES)
-    )
-    + " END"
-)
+CATEGORY_CASE = "CASE grp " + " ".join(f"WHEN '{g}' THEN '{c}'" for g, c in CATEGORY.items() if c) + " END"
 
 VARIANTS = f"""
 swapped AS (
@@ -259,6 +274,55 @@ train AS (
   SELECT doc_id, text FROM documents JOIN labels USING (doc_id)
   WHERE toxic IS NOT NULL AND {HASH.format("doc_id")} % 5 <> 0)"""
 
+#: A ridge with few features: TF-IDF vectors of length 1, centred normal equations, and their
+#: elimination (every pivot clears its column in all other rows; the matrix is positive definite).
+SMALL_MODEL = f"""{TRAIN.strip()},
+unigrams AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[{WORD}]{{2,}}') AS t FROM train),
+occurrences AS (
+  SELECT doc_id, term, count(*) AS cnt FROM (
+    SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)),
+           lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM unigrams) GROUP BY ALL),
+kept AS (
+  SELECT term, row_number() OVER (ORDER BY tf DESC, term) AS j,
+         ln(((SELECT count(*) FROM train) + 1) / (df + 1)) + 1 AS idf
+  FROM (SELECT term, sum(cnt) AS tf, count(*) AS df FROM occurrences GROUP BY term)
+  ORDER BY tf DESC, term LIMIT {{size}}),
+weighted AS (SELECT doc_id, j, cnt * idf AS w FROM occurrences JOIN kept USING (term)),
+vectors AS (
+  SELECT doc_id, j, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM weighted),
+labelled AS (SELECT doc_id, CAST(toxic AS DOUBLE) AS y FROM train JOIN labels USING (doc_id)),
+overall AS (SELECT count(*) AS n, avg(y) AS y_mean FROM labelled),
+columns AS (
+  SELECT j, coalesce(sum(x), 0) AS s, coalesce(sum(x * y), 0) AS sy
+  FROM kept LEFT JOIN vectors USING (j) LEFT JOIN labelled USING (doc_id) GROUP BY j),
+products AS (
+  SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS p FROM vectors a JOIN vectors b USING (doc_id) GROUP BY ALL),
+cells AS (
+  SELECT a.j AS i, b.j AS j,
+         coalesce(p, 0) - a.s * b.s / n + CASE WHEN a.j = b.j THEN {fv.RIDGE_ALPHA} ELSE 0 END AS v
+  FROM columns a CROSS JOIN columns b CROSS JOIN overall LEFT JOIN products q ON q.i = a.j AND q.j = b.j
+  UNION ALL SELECT j, {{size}} + 1, sy - s * y_mean FROM columns, overall),
+matrix AS (
+  SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM cells GROUP BY i)),
+elimination AS (
+  SELECT 1 AS k, m FROM matrix
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k
+           THEN list_transform(r, lambda v: v / m[k][k])
+           ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)
+  FROM elimination WHERE k <= len(m)),
+solved AS (
+  SELECT term, j, idf, m[j][len(m) + 1] AS coef
+  FROM kept, (SELECT m FROM elimination WHERE k = len(m) + 1)),
+constant AS (
+  SELECT y_mean - (SELECT sum(s * coef) FROM columns JOIN solved USING (j)) / n AS c FROM overall)"""
+
+
+def small_model(select: str, size: int) -> str:
+    return "WITH RECURSIVE " + SMALL_MODEL.replace("{size}", str(size)) + select
+
+
 NUMBER = (
     r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)"
     r"([eE][+-]?[0-9]+(_[0-9]+)*)?$"
@@ -280,7 +344,8 @@ FROM comments""",
     ),
     "eda_identity_toxicity": f"""WITH {COMMENTS}, {LONG}
 SELECT grp AS identity, count(*) AS n_comments, round(avg(target), 6) AS mean_toxicity,
-       round(100.0 * count(*) FILTER (WHERE target >= 0.5) / count(*), 6) AS pct_toxic
+       round(100.0 * count(*) FILTER (WHERE target >= 0.5) / count(*), 6) AS pct_toxic,
+       row_number() OVER (ORDER BY round(avg(target), 12) DESC NULLS LAST, grp) AS position
 FROM long GROUP BY grp HAVING count(*) >= {fv.MIN_GROUP_SIZE}""",
     "eda_identity_rounded": f"""WITH {COMMENTS}, {LONG}
 SELECT grp AS identity, count(*) AS n_comments, round_even(avg(target_syn), 3) AS mean_toxicity,
@@ -314,7 +379,24 @@ FROM parsed GROUP BY conv_id""",
     "identity_mentions": f"""WITH {COMMENTS}, {LONG}, {MENTIONS}
 SELECT id, n_mentions, mentions FROM mention_rows""",
     "mention_ranking": f"""WITH {COMMENTS}, {LONG}, {MENTIONS}
-SELECT id, toxicity FROM mention_rows ORDER BY toxicity, id""",
+SELECT id, toxicity, row_number() OVER (ORDER BY toxicity, id) AS position FROM mention_rows""",
+    "csv_scan": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "csv_index": """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_index, doc_id,
+       md5(text) AS text_md5 FROM documents""",
+    "complete_comments": """SELECT doc_id AS id, CAST(toxic AS DOUBLE) AS target
+FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND toxic IS NOT NULL""",
+    "optional_mentions": f"""WITH {COMMENTS}, {LONG}
+SELECT id, string_agg(grp, ',' ORDER BY pos) AS mentions FROM long
+WHERE grp IN ({quoted(GROUPS[1::2])}) GROUP BY id""",
+    "result_table_files": f"""WITH {GRID}
+SELECT identity_term, level, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b,
+       round(score_a, 6) AS csv_score_a, round(score_b, 6) AS csv_score_b FROM term_means""",
+    "variant_files": f"""WITH {COMMENTS}, {LONG}, {MENTIONS}, {STRATA}, {VARIANTS}
+SELECT v.id, variant_id, variant_text, is_original, original_toxicity, stratum
+FROM variants v JOIN strata s ON v.id = s.id""",
+    "file_score_gaps": f"""WITH {COMMENTS}, {LONG}, {MENTIONS}, {VARIANTS}, {GAPS}
+SELECT id, variant_id, round(variant_score, 6) AS variant_score,
+       round(original_score, 6) AS original_score, round(score_gap, 6) AS score_gap FROM gaps""",
     "strata_rows": f"""WITH {COMMENTS}, {LONG}, {MENTIONS}, {STRATA}
 SELECT id, toxicity, stratum FROM strata""",
     "strata_summary": f"""WITH {COMMENTS}, {LONG}, {MENTIONS}, {STRATA}
@@ -439,3 +521,40 @@ counts AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM terms
 kept AS (SELECT * FROM counts ORDER BY tf DESC, term LIMIT {fv.VOCABULARY_SIZE})
 SELECT term, tf, df, round(ln(((SELECT count(*) FROM train) + 1) / (df + 1)) + 1, 6) AS idf FROM kept""",
 }
+SIZE = 24
+ORACLES |= {
+    "small_model_coefs": small_model(
+        " SELECT term AS feature, round(coef, 6) AS coef FROM solved", SIZE
+    ),
+    "small_model_extremes": small_model(
+        """,
+placed AS (
+  SELECT 'higher' AS side, row_number() OVER (ORDER BY round(coef, 9) DESC, term) AS position, term, coef FROM solved
+  UNION ALL SELECT 'lower', row_number() OVER (ORDER BY round(coef, 9), term), term, coef FROM solved)
+SELECT side, position, term AS feature, round(coef, 6) AS coef FROM placed WHERE position <= 5""",
+        SIZE,
+    ),
+    "small_model_identity_coefs": small_model(
+        f""",
+groups AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{t.lower()}')" for g, terms in FREQUENT_LEXICON.items() for t in terms)}) g(identity, term))
+SELECT identity, term AS feature, round(coef, 6) AS coef FROM solved JOIN groups USING (term)""",
+        SIZE,
+    ),
+    "small_model_scores": small_model(
+        f""",
+line_words AS (
+  SELECT id, line_no, regexp_extract_all(lower(line), '[{WORD}]{{2,}}') AS t FROM (
+    SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line,
+           CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line_no FROM documents)),
+line_terms AS (
+  SELECT id, line_no, term, count(*) AS cnt FROM (
+    SELECT id, line_no, unnest(list_concat(t, list_transform(range(1, len(t)),
+           lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM line_words) GROUP BY ALL),
+line_scores AS (
+  SELECT id, line_no, sum(cnt * idf * coef) / sqrt(sum(cnt * idf * cnt * idf)) AS score
+  FROM line_terms JOIN solved USING (term) GROUP BY id, line_no)
+SELECT id, line_no, round(c + coalesce(score, 0), 6) AS local_score
+FROM line_words LEFT JOIN line_scores USING (id, line_no), constant""",
+        SIZE,
+    ),
+}

@@ -14,8 +14,10 @@ from evenhand.functions.unnest import explode_rows
 from evenhand.operators import counterfactual, fairness, profile, strata, textmodel, tfidf
 from evenhand.operators.mentions import mention_rows
 from evenhand.plans import audits
-from evenhand.sources import tables
+from evenhand.sources import comments as src
+from evenhand.sources import sinks, tables
 from evenhand.sources.comments import rank_score, with_file_order
+from evenhand.sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,9 +83,11 @@ def score_bands(spark, sf_dir):
 @query
 def eda_identity_toxicity(spark, sf_dir, min_group_size: int = fv.MIN_GROUP_SIZE):
     df = tables.comments(spark, sf_dir)
-    return profile.identity_summary(
-        df, tables.GROUPS, "target", min_group_size=min_group_size
-    ).select("identity", "n_comments", r("mean_toxicity"), r("pct_toxic"))
+    found = profile.with_position(
+        profile.identity_summary(df, tables.GROUPS, "target", min_group_size=min_group_size)
+    )
+    position = F.col("position").cast("long").alias("position")
+    return found.select("identity", "n_comments", r("mean_toxicity"), r("pct_toxic"), position)
 
 
 @query
@@ -130,6 +134,101 @@ def document_index(spark, sf_dir):
     return with_file_order(tables.read(spark, sf_dir, "documents")).select("doc_id", "doc_index")
 
 
+# ---------------------------------------------------------------- written and read files
+
+
+def _written(spark, df: DataFrame, file_format: str = "csv") -> str:
+    path = new_folder(spark, "written")
+    sinks.write_table(df, path, file_format)
+    return path
+
+
+def _digest(text: str):
+    return F.md5(F.encode(text, "UTF-8")).alias("text_md5")
+
+
+@query
+def csv_scan(spark, sf_dir):
+    """Every document written as CSV, whose texts hold newlines, and read by many tasks; two of the
+    five columns are parsed."""
+    path = _written(spark, tables.read(spark, sf_dir, "documents"))
+    rows = src.csv_rows(spark, path, ["doc_id", "text"])
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text"))
+
+
+@query
+def csv_index(spark, sf_dir):
+    """Record numbers of the documents' CSV files, written in the order of their ids."""
+    docs = tables.documents(spark, sf_dir).select(
+        "comment_text", F.col("id").cast("string").alias("target")
+    )
+    ordered = docs.repartitionByRange(F.col("target").cast("long"))
+    ordered = ordered.sortWithinPartitions(F.col("target").cast("long"))
+    rows = src.indexed_comments(spark, _written(spark, ordered))
+    return rows.select("doc_index", F.col("target").cast("long").alias("doc_id"), _digest("comment_text"))
+
+
+@query
+def complete_comments(spark, sf_dir):
+    kept = profile.drop_missing(tables.comments(spark, sf_dir), ["comment_text", "target"])
+    return kept.select("id", "target")
+
+
+@query
+def result_table_files(spark, sf_dir):
+    """A result table through both formats of the sink; numbers come back from CSV as text."""
+    means = parity_by_level(spark, sf_dir)
+    again = src.csv_rows(spark, _written(spark, means))
+    kept = spark.read.parquet(_written(spark, means, "parquet"))
+    typed = again.select(
+        "identity_term", "level", *[F.col(c).cast("double").alias(f"csv_{c}") for c in ("score_a", "score_b")]
+    )
+    return kept.join(typed, ["identity_term", "level"])
+
+
+def _variant_files(spark, sf_dir) -> str:
+    path = new_folder(spark, "variants")
+    sinks.write_variants(stratified_counterfactuals(spark, sf_dir), path)
+    return path
+
+
+@query
+def variant_files(spark, sf_dir):
+    """The written folders of the strata, read back."""
+    rows = src.csv_rows(spark, _variant_files(spark, sf_dir))
+    return rows.select(
+        F.col("id").cast("long").alias("id"),
+        "variant_id",
+        "variant_text",
+        "is_original",
+        F.col("original_toxicity").cast("double").alias("original_toxicity"),
+        "stratum",
+    )
+
+
+def _external_scorer(spark, rows: DataFrame, text: str) -> str:
+    """A stand-in for an external scorer: reads rows, returns a file of keys and scores."""
+    score = (F.length(text) * 7 + F.col("id").cast("long")) % 97 / 96
+    return _written(spark, rows.select("id", "variant_id", score.alias("score")).distinct())
+
+
+@query
+def file_score_gaps(spark, sf_dir):
+    """Gaps from scores that come back in files: variants are written, the scorer answers for some
+    of them, and those without an answer go out a second time."""
+    keys = ["id", "variant_id"]
+    sent = src.csv_rows(spark, _written(spark, _variants(spark, sf_dir)))
+    first = _external_scorer(spark, sent.filter(F.crc32("variant_text") % 3 < 2), "variant_text")
+    scores = src.external_scores(spark, first, keys, "score")
+    again = src.csv_rows(spark, _written(spark, src.unscored(sent, scores, keys)))
+    second = _external_scorer(spark, again, "variant_text")
+    scores = scores.unionByName(src.external_scores(spark, second, keys, "score"))
+    gaps = fairness.variant_gaps(fairness.attach_scores(sent, scores, keys), "score")
+    return gaps.select(
+        F.col("id").cast("long").alias("id"), "variant_id", r("variant_score"), r("original_score"), r("score_gap")
+    )
+
+
 # ---------------------------------------------------------------- mentions and strata
 
 
@@ -150,9 +249,17 @@ def identity_mentions(spark, sf_dir):
     )
 
 
+@query
+def optional_mentions(spark, sf_dir):
+    """Mentions where some groups have no column: they are skipped."""
+    df = tables.comments(spark, sf_dir, labelled=False).drop(*tables.GROUPS[::2])
+    return mention_rows(df, tables.GROUPS).select("id", F.array_join("mentions", ",").alias("mentions"))
+
+
 @query
 def mention_ranking(spark, sf_dir):
-    return strata.ranked(_ranked(spark, sf_dir).select("id", "toxicity"), "toxicity", "id")
+    rows = _ranked(spark, sf_dir).select("id", "toxicity")
+    return strata.with_position(strata.ranked(rows, "toxicity", "id"))
 
 
 @query
@@ -528,3 +635,47 @@ def model_top_terms(spark, sf_dir):
 @query
 def model_identity_coefs(spark, sf_dir):
     return textmodel.identity_coefficients(_coefficients(spark, sf_dir), tables.LEXICON)
+
+
+#: A vocabulary whose normal equations SQL can solve, too.
+SMALL_VOCABULARY = 24
+
+
+def _small_model(spark, sf_dir):
+    return textmodel.fit(
+        _training(spark, sf_dir), max_features=SMALL_VOCABULARY, closed_form=True
+    )
+
+
+def _small_coefficients(spark, sf_dir):
+    return textmodel.coefficients(_small_model(spark, sf_dir), tables.read(spark, sf_dir, "labels"))
+
+
+@query
+def small_model_coefs(spark, sf_dir):
+    return _small_coefficients(spark, sf_dir).select("feature", r("coef"))
+
+
+@query
+def small_model_extremes(spark, sf_dir):
+    """The five largest and the five smallest coefficients with their positions."""
+    top = textmodel.extreme_coefficients(_small_coefficients(spark, sf_dir), 5)
+    return top.select("side", F.col("position").cast("long").alias("position"), "feature", r("coef"))
+
+
+@query
+def small_model_identity_coefs(spark, sf_dir):
+    found = textmodel.identity_coefficients(
+        _small_coefficients(spark, sf_dir), tables.FREQUENT_LEXICON
+    )
+    return found.select("identity", "feature", r("coef"))
+
+
+@query
+def small_model_scores(spark, sf_dir):
+    """Every line of every document, scored by the small model."""
+    lines = tables.documents(spark, sf_dir).select(
+        "id", F.posexplode(F.split("comment_text", "\n")).alias("line_no", "comment_text")
+    )
+    scored = textmodel.score(_small_model(spark, sf_dir), lines)
+    return scored.select("id", F.col("line_no").cast("long").alias("line_no"), r("local_score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenhand.functions.numbers import lenient_number, nan_to_null
-
+from evenhand.sources.records import csv_records, folder_value
 
 
 def csv_options(reader):
@@ -24,17 +24,43 @@ def csv_options(reader):
     )
 
 
-def csv_rows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def csv_rows(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, whole_files: bool = False
+) -> DataFrame:
     """All fields as text, named by the header; only ``columns`` are parsed when given.
 
-    A CSV with newlines inside fields cannot be split, so one file is one task. Convert large
-    files to Parquet once (``to_parquet``).
+    Every file is read by many tasks, although fields may hold newlines (``records``). With
+    ``whole_files`` one task reads a whole file: for files in which quotes stand inside unquoted fields or
+    lines end in a carriage return alone.
     """
     # Without inference only the header line is read to learn the names.
     df = csv_options(spark.read).option("inferSchema", False).csv(path)
+    if not whole_files:
+        df = parsed(spark, path, df.schema).select("row.*", *folder_columns(spark, path))
     return df if columns is None else df.select(*columns)
 
 
+def folder_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns that come from folder names and not from the files."""
+    return spark.read.text(path).columns[1:]
+
+
+def parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(doc_no, row, *folder columns): the data records' fields by the same parser that reads files."""
+    outside = folder_columns(spark, path)
+    fields = T.StructType([f for f in schema.fields if f.name not in outside])
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    return (
+        csv_records(spark, path)
+        .filter("record_no > 0")
+        .select(
+            "doc_no",
+            F.from_csv("record", fields.toDDL(), options).alias("row"),
+            *[folder_value(F.col("file"), c).cast(schema[c].dataType).alias(c) for c in outside],
+        )
+    )
+
+
 def comments(
     df: DataFrame,
     groups: Sequence[str],
@@ -106,8 +132,9 @@ def with_file_order(df: DataFrame, column: str = "doc_index") -> DataFrame:
 
 def indexed_comments(spark: SparkSession, path: str) -> DataFrame:
     """(doc_index, comment_text, target) in file order, absent fields as '' and '0'."""
-    rows = with_file_order(csv_rows(spark, path))
-    names = rows.columns
+    schema = csv_options(spark.read).option("inferSchema", False).csv(path).schema
+    names = schema.names
+    rows = parsed(spark, path, schema).select(F.col("doc_no").alias("doc_index"), "row.*")
     text = F.col("comment_text") if "comment_text" in names else F.lit("")
     target = F.col("target") if "target" in names else F.lit("0")
     return rows.select(
@@ -132,3 +159,10 @@ def external_scores(
         rows = spark.read.format(file_format).load(path)
         value = F.col(score).cast("double")
     return rows.select(*keys, value.alias(score))
+
+
+def unscored(variants: DataFrame, scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that no score has come back for, to be sent out again. Only the keys of the scores
+    take part; a score that is missing in a returned row counts as not returned."""
+    returned = scores.filter(F.col(scores.columns[-1]).isNotNull()).select(*keys).distinct()
+    return variants.join(returned, list(keys), "left_anti")

@@ -18,6 +18,8 @@ LEXICON = {
     "g_le": ["le", "les"],
     "g_none": [],
 }
+#: Some of the most frequent words, so that a model with few features has them.
+FREQUENT_LEXICON = {"f_the": ["The"], "f_and": ["and"], "f_both": ["the", "of", "absent"]}
 CATEGORIES = {"c1": ["g_ther", "g_thon", "g_thed"], "c2": ["g_erin", "g_anea"]}
 GROUPS = list(LEXICON)
 AUDIT_TERMS = {c: [LEXICON[g][0] for g in groups] for c, groups in CATEGORIES.items()}
