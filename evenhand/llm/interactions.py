@@ -259,7 +259,7 @@ def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), firsts AS (
   SELECT body, min(doc_id) AS first_id FROM cut GROUP BY body
