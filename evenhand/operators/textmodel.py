@@ -131,18 +131,15 @@ def total(
                     ["block", "leaf", "sums"],
                 )
 
-    def add(key, pieces):
-        pieces = pieces.sort_by("leaf")  # one order of adding, so reruns agree to the last bit
-        sums = sum(np.asarray(piece.values) for piece in pieces["sums"])
-        leaf = pa.array([key[1].as_py()])
-        return pa.table({"block": pieces["block"][:1], "leaf": leaf, "sums": pa.array([sums], pa.list_(pa.float64()))})
-
-    schema = "block long, leaf long, sums array<double>"
-    parts = rows.mapInArrow(cut, schema)
+    parts = rows.mapInArrow(cut, "block long, leaf long, sums array<double>")
+    # In the order of the leaves, so reruns agree to the last bit.
+    pieces = F.sort_array(F.collect_list(F.struct("leaf", "sums")))["sums"]
+    zeros = F.array_repeat(F.lit(0.0), F.size(F.get(pieces, F.lit(0))))
+    added = F.aggregate(pieces, zeros, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     while True:
         n_parts = -(-n_parts // FAN_IN)
         joined = F.floor(F.col("leaf") / FAN_IN) if n_parts > 1 else F.lit(0).cast("long")
-        parts = parts.withColumn("joined", joined).groupBy("block", "joined").applyInArrow(add, schema)
+        parts = parts.groupBy("block", joined.alias("leaf")).agg(added.alias("sums"))
         if n_parts <= 1:
             break
     found, result = parts.toArrow(), np.zeros(width)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from evenhand.functions.numbers import strict_number, strip
 from evenhand.functions.text import clean_tokens, term_runs
 from evenhand.functions.unnest import explode_rows, inline_rows
 
+KEY_BITS = 1 << 20  # of the bitmap of requested keys
 HOT_TERMS = 10_000  # a term of over 1 / HOT_TERMS of all pairs is hot: at most so many are
 
 
@@ -191,6 +193,24 @@ def first_documents(docs: DataFrame, key: str = "id", n: int = 10) -> DataFrame:
     return docs.orderBy(key).limit(n)
 
 
+def key_bits(keys: DataFrame, key: str, bits: int = KEY_BITS) -> bytearray:
+    """A bitmap of fixed size with the hashes of all keys, gathered as one row for each byte."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    marks = keys.select(F.floor(place / 8).alias("byte"), F.pow(F.lit(2), place % 8).cast("int").alias("bit"))
+    found = marks.groupBy("byte").agg(F.bit_or("bit").alias("value")).toArrow()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    bitmap[found["byte"].to_numpy()] = found["value"].to_numpy()
+    return bytearray(bitmap.tobytes())
+
+
+def may_hold(key: str, bitmap: bytearray) -> Column:
+    """False only for keys that are not in the bitmap."""
+    place = F.pmod(F.xxhash64(key), F.lit(len(bitmap) * 8))
+    byte = F.substring(F.lit(bitmap), F.floor(place / 8).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    return F.getbit(value, (place % 8).cast("int")) == 1
+
+
 def lookup(
     requests: DataFrame,
     docs: DataFrame,
@@ -204,10 +224,12 @@ def lookup(
     The requested term is lower-cased and stripped of white space, but not tokenised. A rare term counts
     with frequency 0. Requests for unknown documents are left out (``missing_documents``).
     A document that very many requests name is handled by salting the existence check; the
-    look-up itself is keyed by document and term.
+    look-up itself is keyed by document and term. A bitmap of the requested keys, of fixed size and read
+    first, keeps nearly all texts that nobody asked for out of the shuffle.
     """
     wanted = requests.select(key, strip(F.lower("term")).alias("term")).distinct()
-    asked_docs = docs.join(wanted.select(key).distinct(), key, "left_semi")
+    keys = wanted.select(key).distinct()
+    asked_docs = docs.filter(may_hold(key, key_bits(keys, key))).join(keys, key, "left_semi")
     counts = term_counts(asked_docs, key, text)
     existing = asked_docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     in_range = (

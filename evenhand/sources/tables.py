@@ -26,15 +26,22 @@ AUDIT_TERMS = {c: [LEXICON[g][0] for g in groups] for c, groups in CATEGORIES.it
 CATEGORY_WORDS = {c: [w for g in groups for w in LEXICON[g]] for c, groups in CATEGORIES.items()}
 
 
+#: Session setting: partitions of the documents' texts.
+PARTITIONS = "evenhand.documents.partitions"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, comment_text)"""
-    return read(spark, sf_dir, "documents").select(
+    """(id, comment_text). A file that cannot be split (one row group) is one task; the session may
+    name a number of partitions to deal the texts out to, none by default."""
+    docs = read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("comment_text")
     )
+    partitions = spark.conf.get(PARTITIONS, None)
+    return docs if partitions is None else docs.repartition(int(partitions))
 
 
 def synthetic_target(key: Column) -> Column:

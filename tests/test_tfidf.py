@@ -127,3 +127,33 @@ def test_labels_join_vectors_not_texts(spark, sf_dir):
     for line in physical.splitlines():
         if "Exchange hashpartitioning" in line:
             assert "comment_text" not in line
+
+
+def test_bitmap_of_keys(spark):
+    keys = spark.range(0, 4000, 7).withColumnRenamed("id", "key")
+    bitmap = tfidf.key_bits(keys, "key", 1 << 16)
+    assert len(bitmap) == 1 << 13
+    every = spark.range(0, 40_000).withColumnRenamed("id", "key").filter(tfidf.may_hold("key", bitmap))
+    assert keys.join(every, "key", "left_anti").count() == 0  # no key is lost
+    assert every.count() < 4000  # and few others pass
+    text_keys = spark.createDataFrame([("a",), (None,), ("é",)], "key string")
+    bitmap = tfidf.key_bits(text_keys, "key")
+    assert text_keys.filter(tfidf.may_hold("key", bitmap)).count() == 3
+
+
+def test_texts_nobody_asked_for_are_not_shuffled(spark):
+    """With broadcasts off, the filter stands below the exchange of the texts."""
+    docs = spark.range(500).selectExpr("id", "concat('word', id % 50, ' other') comment_text")
+    asked = spark.createDataFrame([(3, "word3"), (4, "absent"), (900, "word1")], "id long, term string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = tfidf.lookup(asked, docs, min_df=1)
+        assert sorted((r.id, r.term, r.tfidf > 0) for r in found.collect()) == [(3, "word3", True), (4, "absent", False)]
+        kept = docs.filter(tfidf.may_hold("id", tfidf.key_bits(asked, "id")))
+        assert kept.count() < 20
+        joined = kept.join(asked.select("id").distinct(), "id", "left_semi")
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("LeftSemi") < plan.index("getbit")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
