@@ -7,8 +7,12 @@ The line's template is its fixed tokens with fields between. Lines whose templat
 half fixed and recurs in `min_docs` documents are dropped, wherever they stand. Lines of LONG_TOKENS
 tokens or more, which do not recur by chance, need LONG_DOCS documents in all these places.
 
-Only DataFrame functions are used. Leaves are counted as hashes; the tokens of a line are looked at
-only if its leaf recurs.
+Only DataFrame functions are used. The first scan turns lines into hashes (leaf, line); all counting
+happens on them. A leaf with a single distinct line needs no more: all its tokens recur as often as
+the line. Only of leaves with several distinct lines the tokens are fetched, once for each distinct
+line. Texts that hold no such line, and at the end texts that lose no line, are kept out of the
+shuffles by bitmaps of fixed size; the fuller a bitmap is, the more texts pass it, and the joins
+behind it decide.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import checkpoint, lookup, text_key
+from evenhand.llm.common import checkpoint, lookup
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -24,25 +28,55 @@ LONG_TOKENS = 20
 LONG_DOCS = 2
 FIXED_SHARE = 0.5
 FIELD = "<*>"
+BITS = 1 << 22  # of a bitmap of texts
 
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def tokens(line: Column) -> Column:
-    """Tokens between blanks; those with a digit are a field."""
-    words = F.filter(F.split(line, r"[ \t\r\f\x0B]+"), lambda t: t != "")
-    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+def key_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
-def leaf(line: Column) -> Column:
-    """Hash of the leaf of a line, odd for long lines; null for blank lines, which have no tokens."""
-    clean = F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
-    head = F.regexp_replace(F.substring_index(clean, " ", DEPTH), r"[^ ]*[0-9][^ ]*", FIELD)
-    count = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
-    even = F.xxhash64(count, head).bitwiseAND(F.lit(-2))
-    return F.when(clean != "", even + F.when(count + 1 >= LONG_TOKENS, 1).otherwise(0))
+def plain_lines(text: Column) -> Column:
+    """Lines with single blanks between tokens; those with a digit are a field. Every expression
+    looks at a character a bounded number of times, also in a line without a blank."""
+    odd = r" *+[\t\r\f\x0B][ \t\r\f\x0B]*+|  ++"
+    clean = F.when(text.rlike(odd), F.regexp_replace(text, odd, " ")).otherwise(text)
+
+    def plain(line: Column) -> Column:
+        fields = F.transform(F.split(line, " "), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+        return F.when(line.rlike("[0-9]"), F.array_join(fields, " ")).otherwise(line)
+
+    trimmed = F.transform(lines(clean), lambda line: F.trim(line))
+    return F.transform(trimmed, plain)
+
+
+def mark(line: Column) -> Column:
+    """(leaf, line, dense) of a plain line: hashes, the leaf's odd for long lines, and whether enough
+    tokens are no fields; null for blank lines."""
+    count = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    even = F.xxhash64(count, F.substring_index(line, " ", DEPTH)).bitwiseAND(F.lit(-2))
+    fields = F.size(F.filter(F.split(line, " "), lambda t: t == FIELD))
+    fields = F.when(F.contains(line, F.lit(FIELD)), fields).otherwise(0)
+    return F.when(
+        line != "",
+        F.struct(
+            (even + F.when(count >= LONG_TOKENS, 1).otherwise(0)).alias("leaf"),
+            F.xxhash64(line).alias("line"),
+            (count - fields >= FIXED_SHARE * count).alias("dense"),
+        ),
+    )
+
+
+def different(values: Column) -> Column:
+    """The distinct values of an array, by sorting it."""
+
+    def firsts(t: Column) -> Column:
+        return F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1)))
+
+    return F.get(F.transform(F.array(F.sort_array(values)), firsts), F.lit(0))
 
 
 def needed(min_docs: int | None) -> Column:
@@ -51,81 +85,101 @@ def needed(min_docs: int | None) -> Column:
     return F.when(long_line, LONG_DOCS).otherwise(MIN_DOCS) if min_docs is None else F.lit(min_docs)
 
 
+def bitmap(keys: DataFrame) -> bytearray:
+    """A bitmap of BITS bits with the hashes of all keys."""
+    place = F.pmod(F.xxhash64("key"), F.lit(BITS))
+    bit = F.pow(F.lit(2), place % 32).cast("long")
+    words = keys.select(F.floor(place / 32).alias("word"), bit.alias("bit"))
+    out = bytearray(BITS // 8)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        out[4 * row["word"] : 4 * row["word"] + 4] = row["bits"].to_bytes(4, "little")
+    return out
+
+
+def may_hold(bits: bytearray) -> Column:
+    """False only for a `key` that is not in the bitmap."""
+    place = F.pmod(F.xxhash64("key"), F.lit(BITS))
+    byte = F.hex(F.substring(F.lit(bits), F.floor(place / 8).cast("int") + 1, F.lit(1)))
+    return F.getbit(F.conv(byte, 16, 10).cast("int"), (place % 8).cast("int")) == 1
+
+
+def line_tokens(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(leaf, line, docs, uses, tokens): hashes of the tokens of distinct lines, from one text that
+    holds each; fields are null."""
+    entry = F.struct("line", F.struct("docs", "uses"))
+    wanted = distinct.groupBy(F.col("holder").alias("key")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("wanted")
+    )
+    wanted = checkpoint(wanted)
+    texts = keyed.filter(may_hold(bitmap(wanted))).groupBy("key").agg(F.first("text").alias("text"))
+    held = texts.join(wanted, "key").select("wanted", F.explode(plain_lines(F.col("text"))).alias("plain"))
+    marked = held.select("wanted", "plain", mark(F.col("plain")).alias("m")).filter("m is not null")
+    found = marked.select(
+        "m.leaf", "m.line", "plain", F.try_element_at("wanted", F.col("m.line")).alias("own")
+    ).filter("own is not null")
+    token = lambda t: F.when(t != FIELD, F.xxhash64(t))
+    return (
+        found.select("leaf", "line", "own.docs", "own.uses", F.transform(F.split("plain", " "), token).alias("tokens"))
+        .groupBy("leaf", "line")  # a text may hold the line twice
+        .agg(*[F.first(c).alias(c) for c in ("docs", "uses", "tokens")])
+    )
+
+
+def template_lines(tokens: DataFrame, min_docs: int | None) -> DataFrame:
+    """(line, uses) of the lines whose template is fixed enough and recurs."""
+    tokens = checkpoint(tokens)
+    size = F.size("tokens").alias("size")
+    places = tokens.select("leaf", "line", "docs", size, F.posexplode("tokens").alias("place", "token"))
+    places = places.filter("token is not null")
+    common = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("seen"))
+    common = common.filter(F.col("seen") >= needed(min_docs)).drop("seen")
+    fixed = places.join(common, ["leaf", "place", "token"]).groupBy("leaf", "line", "docs", "size")
+    shaped = checkpoint(
+        fixed.agg(F.bit_xor(F.xxhash64("place", "token")).alias("template"), F.count("*").alias("fixed"))
+        .filter(F.col("fixed") >= FIXED_SHARE * F.col("size"))
+        .select("leaf", "line", "docs", "template", "fixed")
+    )
+    recurring = shaped.groupBy("leaf", "template", "fixed").agg(F.sum("docs").alias("all"))
+    recurring = recurring.filter(F.col("all") >= needed(min_docs)).drop("all")
+    bad = shaped.join(recurring, ["leaf", "template", "fixed"], "left_semi").select("leaf", "line")
+    return tokens.select("leaf", "line", "uses").join(bad, ["leaf", "line"], "left_semi").select("line", "uses")
+
+
 def dropped_lines(
     docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int | None = None
 ) -> DataFrame:
-    """(key, n, places): by text key, the 0-based lines to drop; n rows have that text."""
-    keyed = docs.select(
-        text_key(F.col(text)).alias("key"), F.col(text).alias("text"), F.col(id).alias("doc_id")
-    )
-    keyed = keyed.filter(F.col("text").isNotNull())
+    """(key, n, bad): by text key, the hashes of the lines to drop; n rows have that text."""
+    keyed = docs.select(F.col(text).alias("text")).filter("text is not null")
+    keyed = keyed.select(key_of(F.col("text")).alias("key"), "text")
+    marks = F.transform(plain_lines(F.col("text")), mark)
     texts = checkpoint(
-        keyed.select("key", F.transform(lines(F.col("text")), leaf).alias("leaves"))
+        keyed.select("key", different(F.array_compact(marks)).alias("marks"))
         .groupBy("key")
-        .agg(F.first("leaves").alias("leaves"), F.count("*").alias("n"))
+        .agg(F.first("marks").alias("marks"), F.count("*").alias("n"))
     )
-    counted = (
-        texts.select("n", F.explode(F.array_distinct("leaves")).alias("leaf"))
-        .filter("leaf is not null")
-        .groupBy("leaf")
+    # `uses` counts texts by leaf or line; it only moves the hot border
+    leaves = texts.select("n", F.explode(F.array_distinct(F.col("marks.leaf"))).alias("leaf"))
+    common = checkpoint(
+        leaves.groupBy("leaf")
         .agg(F.sum("n").alias("docs"), F.count("*").alias("uses"))
         .filter(F.col("docs") >= needed(min_docs))
+        .select("leaf", "uses")
     )
-    # `uses` counts texts; a text may use a leaf in several lines, which only moves the hot border
-    common = checkpoint(counted)
-    places = texts.select("key", "n", F.posexplode("leaves").alias("place", "leaf"))
-    wanted = checkpoint(
-        lookup(places, common, "leaf", "uses", ["key", "place"], "inner")
-        .groupBy("key")
-        .agg(F.first("n").alias("n"), F.collect_list(F.struct("place", "leaf")).alias("wanted"))
-    )
-    held = lookup(keyed, wanted.withColumn("copies", F.col("n")), "key", "n", ["doc_id"], "inner")
-    split = held.select("key", "copies", "wanted", lines(F.col("text")).alias("lines"))
-    candidates = checkpoint(
-        split.select("key", "copies", F.explode(
-            F.transform("wanted", lambda w: F.struct(
-                w["place"].alias("place"),
-                w["leaf"].alias("leaf"),
-                tokens(F.get(F.col("lines"), w["place"])).alias("tokens"),
-            ))
-        ).alias("x"))
-        .groupBy("key", F.col("x.place").alias("place"), F.col("x.leaf").alias("leaf"))
-        .agg(F.first("x.tokens").alias("tokens"), F.first("copies").alias("copies"))
-        .withColumn("line", F.xxhash64("tokens"))
-    )
-    # documents by line, then by token and place; a line counts once in a document
-    by_line = checkpoint(
-        candidates.groupBy("key", "leaf", "line")
-        .agg(F.first("tokens").alias("tokens"), F.first("copies").alias("copies"), F.count("*").alias("repeats"))
-        .groupBy("leaf", "line")
-        .agg(F.first("tokens").alias("tokens"), F.sum("copies").alias("docs"), F.sum("repeats").alias("uses"))
-    )
-    fields = by_line.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
-    common_tokens = (
-        fields.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= needed(min_docs))
-    )
-    fixed = (
-        fields.join(common_tokens.filter(F.col("token") != FIELD), ["leaf", "place", "token"])
-        .groupBy("leaf", "line")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fixed"))
-    )
-    shaped = by_line.join(fixed, ["leaf", "line"]).filter(
-        F.size("fixed") >= FIXED_SHARE * F.size("tokens")
-    ).select("leaf", "line", "uses", "docs", F.xxhash64("fixed").alias("template"))
-    shaped = checkpoint(shaped)
-    recurring = shaped.groupBy("leaf", "template").agg(F.sum("docs").alias("all")).filter(F.col("all") >= needed(min_docs))
-    bad = shaped.join(recurring, ["leaf", "template"]).select(
-        F.struct("leaf", "line").alias("which"), "uses"
-    )
-    found = lookup(
-        candidates.select("key", "place", "copies", F.struct("leaf", "line").alias("which")),
-        checkpoint(bad.withColumn("bad", F.lit(True))),
-        "which",
-        "uses",
-        ["key", "place"],
-        "inner",
+    own = texts.select("key", "n", F.inline("marks"))
+    common = common.withColumn("common", F.lit(True))
+    candidates = checkpoint(lookup(own, common, "leaf", "uses", ["key", "line"], "inner").drop("common"))
+    distinct = checkpoint(
+        candidates.groupBy("leaf", "line", "dense").agg(
+            F.sum("n").alias("docs"), F.count("*").alias("uses"), F.min("key").alias("holder")
+        )
     )
-    return found.groupBy("key").agg(F.first("copies").alias("n"), F.collect_set("place").alias("places"))
+    leaves = distinct.groupBy("leaf").agg(F.count("*").alias("n"))
+    alone = distinct.join(leaves.filter("n = 1"), "leaf", "left_semi").filter("dense").select("line", "uses")
+    several = distinct.join(leaves.filter("n > 1"), "leaf", "left_semi")
+    bad = alone.unionByName(template_lines(line_tokens(keyed, several), min_docs))
+    bad = checkpoint(bad.withColumn("bad", F.col("line")))
+    found = lookup(candidates.select("key", "n", "line"), bad, "line", "uses", ["key"], "inner")
+    return found.groupBy("key").agg(F.first("n").alias("n"), F.collect_set("bad").alias("bad"))
 
 
 def drop_template_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int | None = None) -> DataFrame:
@@ -135,14 +189,20 @@ def drop_template_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     an empty one has one blank line. `min_docs`, if given, holds for lines of any length. Rows of equal text lose equal lines and count as so many
     documents. Ids are only carried along. An empty table gives no rows.
     """
-    source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("key"))
+    source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), key_of(F.col(text)).alias("key"))
     bad = checkpoint(dropped_lines(docs, id, text, min_docs))
-    joined = lookup(source, bad, "key", "n", ["doc_id"])
-    split = joined.select("doc_id", "text", "places", lines(F.col("text")).alias("lines"))
-    kept = F.filter("lines", lambda _, i: ~F.array_contains("places", i))
-    return split.select(
+    touched = F.coalesce(may_hold(bitmap(bad)) & F.col("text").isNotNull(), F.lit(False))
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines(F.col("text")))).cast("long")
+    same = source.filter(~touched).select("doc_id", "text", size.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    joined = lookup(source.filter(touched), bad, "key", "n", ["doc_id"])
+    which = F.transform(plain_lines(F.col("text")), lambda line: F.array_contains(F.col("bad"), F.xxhash64(line)))
+    split = joined.select("doc_id", "text", "bad", lines(F.col("text")).alias("lines"), which.alias("drop"))
+    kept = F.filter("lines", lambda line, i: ~F.get(F.col("drop"), i))
+    gone = F.size(F.filter("drop", lambda d: d))
+    cut = split.select(
         "doc_id",
-        F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.when(F.col("bad").isNull(), 0).otherwise(gone).cast("long").alias("n_dropped"),
     )
+    return same.unionByName(cut)

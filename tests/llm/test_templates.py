@@ -4,7 +4,9 @@ from evenhand.llm import templates as tp
 from tests.llm.conftest import prose
 
 
-def naive(rows, min_docs):
+def naive(rows, min_docs=None):
+    """`min_docs` None: the registered rule, by the length of a line."""
+    need = lambda t: min_docs or (tp.LONG_DOCS if len(t) >= tp.LONG_TOKENS else tp.MIN_DOCS)
     blank = " \t\r\f\x0b"
 
     def tokens(line):
@@ -19,7 +21,7 @@ def naive(rows, min_docs):
         for line in ls:
             if tokens(line):
                 by_leaf[leaf(tokens(line))].add(i)
-    common = {k for k, v in by_leaf.items() if len(v) >= min_docs}
+    common = {k for k, v in by_leaf.items() if len(v) >= need(range(k[0]))}
     line_docs = defaultdict(set)
     for i, ls in docs:
         for line in ls:
@@ -32,7 +34,7 @@ def naive(rows, min_docs):
             seen[leaf(t), place, token] += len(own)
 
     def template(t):
-        fixed = tuple((p, x) for p, x in enumerate(t) if x != tp.FIELD and seen[leaf(t), p, x] >= min_docs)
+        fixed = tuple((p, x) for p, x in enumerate(t) if x != tp.FIELD and seen[leaf(t), p, x] >= need(t))
         return fixed if fixed and len(fixed) >= tp.FIXED_SHARE * len(t) else None
 
     uses = Counter()
@@ -40,7 +42,7 @@ def naive(rows, min_docs):
         uses[leaf(t), template(t)] += len(own)
     out = []
     for (i, ls), r in zip(docs, rows):
-        keep = [x for x in ls if not ((t := tokens(x)) and leaf(t) in common and template(t) and uses[leaf(t), template(t)] >= min_docs)]
+        keep = [x for x in ls if not ((t := tokens(x)) and leaf(t) in common and template(t) and uses[leaf(t), template(t)] >= need(t))]
         out.append((str(r[0]), None if r[1] is None else "\n".join(keep), len(ls), len(ls) - len(keep)))
     return sorted(out, key=str)
 
@@ -71,3 +73,50 @@ def test_long_lines_recur_from_two_documents_on(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.text for r in tp.drop_template_lines(rows).collect()}
     assert found == {i: t.replace(f"{long_line}\n", "") for i, t in enumerate(texts)}
+
+
+def test_registered_rule_against_brute_force(spark):
+    """Both classes of lines, exact and near copies, fields, odd blanks, copies of whole texts."""
+    import random
+
+    draw = random.Random(4)
+    long_lines = [prose(700 + i, 24 + i % 3) for i in range(12)]
+    rows = []
+    for i in range(70):
+        body = [prose(4000 + 9 * i + k, draw.choice([5, 12, 22, 40])) for k in range(3)]
+        line = draw.choice(long_lines)
+        if i % 3 == 0:
+            words = line.split()
+            if i % 2:
+                words[draw.randrange(3, len(words))] = draw.choice(["changed", "other7", "<*>", "99"])
+            body.insert(1, draw.choice(["", "  ", "\t"]) + " ".join(words).replace(" ", draw.choice([" ", "  ", " \t "]), 1))
+        if i % 4 == 0:
+            body += [f"Posted by user{i} on Monday", "1 2 3 4 five", "<*> <*> a", "short line of the site"]
+        rows.append((i, "\n".join(body) + draw.choice(["", "\n", "\r\n"])))
+    rows += [(200 + i, rows[i % 4][1]) for i in range(14)] + [(300, None), (301, ""), (302, "\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = tp.drop_template_lines(docs)
+    got = sorted(((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in found.collect()), key=str)
+    assert got == naive(rows)
+    assert sum(g[3] for g in got) > 60
+
+
+def test_one_million_characters_without_a_blank(spark):
+    """Linear work: no expression looks at a run again from each of its places."""
+    import time
+
+    long_text = ("letters" * 150_000)[:1_000_000]
+    rows = [(0, long_text + "7"), (1, " " * 300_000 + "a"), (2, "7" * 500_000), (3, "a\n" * 20_000), (4, "\t " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.perf_counter()
+    found = {r.doc_id: (r.text, r.n_dropped) for r in tp.drop_template_lines(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert {k: v[0] for k, v in found.items()} == dict(rows)
+
+
+def test_bitmap_keeps_every_key(spark):
+    docs = spark.range(3000).selectExpr("unhex(md5(cast(id as string))) key")
+    some = docs.limit(700)
+    bits = tp.bitmap(some)
+    assert some.filter(tp.may_hold(bits)).count() == 700
+    assert docs.filter(tp.may_hold(bits)).count() < 800
