@@ -36,6 +36,7 @@ STEP_TOKENS = 4_096
 CHUNK_TOKENS = 1 << 18
 FAN_IN = 32
 PAD = CLASSES
+KEPT_WORDS = 500_000  # words whose class a task remembers
 SHAPES = {
     "E": (2 * SIDE, CLASSES + 1, HIDDEN),
     "b": (HIDDEN,),
@@ -62,10 +63,21 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def token_classes(text: str | None) -> np.ndarray:
+class Classes(dict):
+    """From a word to its class; filled as words are met, emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = self[word] = zlib.crc32(word) & (CLASSES - 1)
+        return found
+
+
+def token_classes(text: str | None, classes: dict[bytes, int] | None = None) -> np.ndarray:
     """Classes of the words of a whole text, lower-cased (A-Z), cut at ASCII blanks."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.array([zlib.crc32(w) & (CLASSES - 1) for w in words], np.int16)
+    known = Classes() if classes is None else classes
+    return np.fromiter(map(known.__getitem__, words), np.int16, len(words))
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,31 +92,28 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Over the first axis: outputs in rows, tokens in columns, so every step runs along tokens."""
+    x -= x.max(axis=0)
+    x -= np.log(np.exp(x).sum(axis=0))
+    return x
 
 
 def forward(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray):
     hidden = w["b"] + w["E"][0][contexts[0]]
     for p in range(1, 2 * SIDE):
-        hidden = hidden + w["E"][p][contexts[p]]
-    hidden = np.tanh(hidden)
+        hidden += w["E"][p][contexts[p]]
+    np.tanh(hidden, out=hidden)
     first, second = targets >> 5, targets & (HALF - 1)
-    one = _log_softmax(hidden @ w["W1"] + w["c1"])
+    one = _log_softmax(w["W1"].T @ hidden.T + w["c1"][:, None])
     joined = hidden + w["A"][first]
-    two = _log_softmax(joined @ w["W2"] + w["c2"])
+    two = _log_softmax(w["W2"].T @ joined.T + w["c2"][:, None])
     row = np.arange(len(targets))
-    return hidden, joined, one, two, first, second, one[row, first] + two[row, second]
+    return hidden, joined, one, two, first, second, one[first, row] + two[second, row]
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """values summed by row number."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-    out[sorted_rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+    """values (one column for each entry of rows) summed by row number."""
+    return np.stack([np.bincount(rows, v, n) for v in values], axis=1).astype(np.float32)
 
 
 def gradient(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -112,30 +121,30 @@ def gradient(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray
     hidden, joined, one, two, first, second, _ = forward(w, contexts, targets)
     n = np.float32(len(targets))
     row = np.arange(len(targets))
-    d_one, d_two = np.exp(one), np.exp(two)
-    d_one[row, first] -= 1
-    d_two[row, second] -= 1
+    d_one, d_two = np.exp(one, out=one), np.exp(two, out=two)
+    d_one[first, row] -= 1
+    d_two[second, row] -= 1
     d_one /= n
     d_two /= n
-    d_joined = d_two @ w["W2"].T
-    d_hidden = (d_one @ w["W1"].T + d_joined) * (1 - hidden * hidden)
+    d_joined = w["W2"] @ d_two
+    d_hidden = (w["W1"] @ d_one + d_joined) * (1 - hidden.T * hidden.T)
     parts = {
-        "E": np.stack([_summed(contexts[p], d_hidden, CLASSES + 1) for p in range(2 * SIDE)]),
-        "b": d_hidden.sum(axis=0),
-        "W1": hidden.T @ d_one,
-        "c1": d_one.sum(axis=0),
+        "E": np.stack([_summed(place, d_hidden, CLASSES + 1) for place in contexts]),
+        "b": d_hidden.sum(axis=1),
+        "W1": hidden.T @ d_one.T,
+        "c1": d_one.sum(axis=1),
         "A": _summed(first, d_joined, HALF),
-        "W2": joined.T @ d_two,
-        "c2": d_two.sum(axis=0),
+        "W2": joined.T @ d_two.T,
+        "c2": d_two.sum(axis=1),
     }
     return np.concatenate([parts[name].ravel() for name in SHAPES])
 
 
-def _chunks(column: pa.Array) -> Iterator[list[np.ndarray]]:
+def _chunks(column: pa.Array, known: dict[bytes, int]) -> Iterator[list[np.ndarray]]:
     """The texts' classes, about CHUNK_TOKENS at a time."""
     chunk, size = [], 0
     for value in column:
-        classes = token_classes(value.as_py())
+        classes = token_classes(value.as_py(), known)
         chunk.append(classes)
         size += len(classes)
         if size >= CHUNK_TOKENS:
@@ -194,9 +203,9 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> np.ndarr
         given = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(given.value)
+            trainer, known = Trainer(given.value), Classes()
             for batch in batches:
-                for chunk in _chunks(batch.column(0)):
+                for chunk in _chunks(batch.column(0), known):
                     trainer.learn(chunk)
             if trainer.tokens:
                 yield pa.RecordBatch.from_pydict({"tokens": [trainer.tokens], "weights": [trainer.weights.tobytes()]})
@@ -215,10 +224,10 @@ def score(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str =
     given = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = views(given.value.copy())
+        w, known = views(given.value.copy()), Classes()
         for batch in batches:
             counts, sums = [], []
-            for chunk in _chunks(batch.column(1)):
+            for chunk in _chunks(batch.column(1), known):
                 contexts, targets, number = windows(chunk)
                 total = np.zeros(len(chunk))
                 for start in range(0, len(targets), STEP_TOKENS):
