@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from evenhand.llm import surrogates as sg
 
 TEXTS = [
@@ -72,3 +74,14 @@ def test_space_grows_where_a_format_is_over_full(spark):
     got = run(spark, [" and ".join(ips[i : i + 100]) for i in range(0, 6000, 100)])
     made = [ip for i in range(60) for ip in got[i].text.split(" and ")]
     assert len(made) == len(set(made)) == 6000 and not set(ips) & set(made)
+
+
+def test_one_million_characters_without_a_blank(spark):
+    import time
+
+    texts = ["letters" * 150_000 + "7", "a." * 400_000 + "@", "7" * 1_000_000, "@a" * 300_000, "x" * 500_000 + " bob@site.org", "AB12" * 200_000, "+" * 300_000 + "1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    start = time.perf_counter()
+    found = {r.doc_id: r.m for r in docs.select("doc_id", sg.mentions(F.col("text")).alias("m")).collect()}
+    assert time.perf_counter() - start < 20
+    assert found[0] == [] and found[1] == [] and found[4] == ["bob@site.org"]
