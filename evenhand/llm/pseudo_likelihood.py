@@ -1,26 +1,33 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Every token is predicted from the SIDE tokens on its left and on its right. Tokens are words,
-hashed into CLASSES = HALF x HALF classes; the class is predicted in two steps (its first half,
-then its second half given the first), so a prediction costs 2 HALF outputs instead of CLASSES.
+Every token is predicted from the SIDE tokens on its left and on its right. Tokens are words. The
+network sees and predicts their class, one of CLASSES = HALF x HALF, in two steps (its first half,
+then its second half given the first), so a prediction costs 2 HALF outputs instead of CLASSES;
+the word follows from its class by the words' counts in the corpus, with a share for unseen words.
 
-    h = tanh(b + sum over places p of E_p[token at p])
+    h = tanh(b + sum over places p of E_p[class at p])
     p(first | h) = softmax(h W1 + c1),  p(second | h, first) = softmax((h + A[first]) W2 + c2)
+    p(word | class) = (count + UNSEEN) / (class's count + UNSEEN (class's words + 1))
 
 Training is plain numpy in tasks: in each of ROUNDS passes every partition of the corpus trains
 the network it was given on all its tokens (Adagrad), and the resulting weights are averaged,
 weighted by tokens, in a tree of tasks. What is gathered so grows with the partitions, and only
-the last FAN_IN sets of weights, of fixed size, reach the driver. A document's score is the sum
-of the log-probabilities of all its tokens.
+the last FAN_IN sets of weights, of fixed size, reach the driver; they depend on how the rows are
+dealt to partitions. The table of words grows with the corpus and stays distributed: the few words
+with over 1/HOT_WORDS of all tokens go to all tasks, the others of a document are joined by word. A
+document's score is the sum of the log-probabilities of all its tokens.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +43,9 @@ STEP_TOKENS = 4_096
 CHUNK_TOKENS = 1 << 18
 FAN_IN = 32
 PAD = CLASSES
-KEPT_WORDS = 500_000  # words whose class a task remembers
+KEPT_WORDS = 500_000  # words that a task remembers
+HOT_WORDS = 1 << 20
+UNSEEN = 0.5
 SHAPES = {
     "E": (2 * SIDE, CLASSES + 1, HIDDEN),
     "b": (HIDDEN,),
@@ -63,21 +72,32 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-class Classes(dict):
-    """From a word to its class; filled as words are met, emptied when full."""
+class Words(dict):
+    """From a word to its number here, and by number its class and a 64-bit id."""
+
+    def __init__(self) -> None:
+        self.classes, self.ids = array("h"), array("q")
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = zlib.crc32(word) & (CLASSES - 1)
-        return found
+        number = self[word] = len(self.ids)
+        self.classes.append(zlib.crc32(word) & (CLASSES - 1))
+        self.ids.append(xxhash.xxh64_intdigest(word) - (1 << 63))
+        return number
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Of the words of a whole text, lower-cased (A-Z), cut at ASCII blanks."""
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def token_classes(text: str | None) -> np.ndarray:
+    words = Words()
+    numbers = words.numbers(text)
+    return np.array(words.classes, np.int16)[numbers]
 
 
-def token_classes(text: str | None, classes: dict[bytes, int] | None = None) -> np.ndarray:
-    """Classes of the words of a whole text, lower-cased (A-Z), cut at ASCII blanks."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known = Classes() if classes is None else classes
-    return np.fromiter(map(known.__getitem__, words), np.int16, len(words))
+def word_id(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode().lower()) - (1 << 63)
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,13 +160,12 @@ def gradient(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray
     return np.concatenate([parts[name].ravel() for name in SHAPES])
 
 
-def _chunks(column: pa.Array, known: dict[bytes, int]) -> Iterator[list[np.ndarray]]:
-    """The texts' classes, about CHUNK_TOKENS at a time."""
+def _chunks(column: pa.Array, words: Words) -> Iterator[list[np.ndarray]]:
+    """The texts' word numbers, about CHUNK_TOKENS at a time; before a chunk `words` may forget."""
     chunk, size = [], 0
     for value in column:
-        classes = token_classes(value.as_py(), known)
-        chunk.append(classes)
-        size += len(classes)
+        chunk.append(words.numbers(value.as_py()))
+        size += len(chunk[-1])
         if size >= CHUNK_TOKENS:
             yield chunk
             chunk, size = [], 0
@@ -154,6 +173,17 @@ def _chunks(column: pa.Array, known: dict[bytes, int]) -> Iterator[list[np.ndarr
         yield chunk
 
 
+def _classes(chunk: list[np.ndarray], words: Words) -> list[np.ndarray]:
+    classes = np.array(words.classes, np.int16)
+    return [classes[numbers] for numbers in chunk]
+
+
+def _forget(words: Words) -> None:
+    if len(words) > KEPT_WORDS:
+        words.clear()
+        words.__init__()
+
+
 class Trainer:
     def __init__(self, weights: np.ndarray, rate: float = RATE):
         self.weights, self.rate = weights.copy(), rate
@@ -203,10 +233,11 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> np.ndarr
         given = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            trainer, known = Trainer(given.value), Classes()
+            trainer, words = Trainer(given.value), Words()
             for batch in batches:
-                for chunk in _chunks(batch.column(0), known):
-                    trainer.learn(chunk)
+                for chunk in _chunks(batch.column(0), words):
+                    trainer.learn(_classes(chunk, words))
+                    _forget(words)
             if trainer.tokens:
                 yield pa.RecordBatch.from_pydict({"tokens": [trainer.tokens], "weights": [trainer.weights.tobytes()]})
 
@@ -215,38 +246,153 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> np.ndarr
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_prob, per_token), one row per row of `docs`.
+def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, class, n): occurrences of every word of all rows; grows with the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = Words(), np.zeros(0, np.int64)
+
+        def rows(counts):
+            names = ["id", "class", "n"]
+            for start in range(0, len(counts), CHUNK_TOKENS):
+                own = slice(start, start + CHUNK_TOKENS)
+                arrays = [np.array(words.ids[own]), np.array(words.classes[own], np.int32), counts[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+
+        for batch in batches:
+            for chunk in _chunks(batch.column(0), words):
+                found = np.bincount(np.concatenate(chunk), minlength=len(words))
+                found[: len(counts)] += counts
+                counts = found
+                if len(words) > KEPT_WORDS:
+                    yield from rows(counts)
+                    counts = np.zeros(0, np.int64)
+                    _forget(words)
+        yield from rows(counts)
+
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "id long, class int, n long")
+    return checkpoint(parts.groupBy("id", "class").agg(F.sum("n").alias("n")))
+
+
+class WordLogs:
+    """What tasks add for words: log(count + UNSEEN) of hot words by id, and by class the log of what
+    the counts are divided by."""
+
+    def __init__(self, words: DataFrame):
+        sums = words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+        self.total = sum(r["n"] for r in sums)
+        self.divisors = np.full(CLASSES, np.log(UNSEEN))
+        for r in sums:
+            self.divisors[r["class"]] = np.log(r["n"] + UNSEEN * (r["words"] + 1))
+        hot = words.filter(F.col("n") > self.total / HOT_WORDS).select("id", "n").toArrow()  # at most HOT_WORDS
+        ids, counts = hot["id"].to_numpy(), hot["n"].to_numpy()
+        order = np.argsort(ids)
+        self.ids, self.logs = ids[order], np.log(counts[order] + UNSEEN)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """Logs of hot words, NaN for others."""
+        if not len(self.ids):
+            return np.full(len(ids), np.nan)
+        place = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[place] == ids, self.logs[place], np.nan)
+
+
+def _class_logs(w: dict[str, np.ndarray], chunk: list[np.ndarray]) -> np.ndarray:
+    """Log-probability of every text's classes."""
+    contexts, targets, number = windows(chunk)
+    total = np.zeros(len(chunk))
+    for start in range(0, len(targets), STEP_TOKENS):
+        own = slice(start, start + STEP_TOKENS)
+        logs = forward(w, contexts[:, own], targets[own])[-1]
+        total += np.bincount(number[own], logs.astype(np.float64), len(chunk))
+    return total
+
+
+def _word_logs(chunk: list[np.ndarray], words: Words, known: WordLogs):
+    """For every text the sum of what tasks know of P(word | class), and the ids and counts of the
+    words that have to be looked up."""
+    numbers = np.concatenate(chunk)
+    text = np.repeat(np.arange(len(chunk)), [len(x) for x in chunk])
+    used, place = np.unique(numbers, return_inverse=True)
+    ids, classes = np.array(words.ids)[used], np.array(words.classes)[used]
+    logs = known.of(ids)
+    rare = np.isnan(logs)
+    per_word = np.where(rare, 0.0, logs) - known.divisors[classes]
+    sums = np.bincount(text, per_word[place], len(chunk))
+    asked = rare[place]
+    pairs, counts = np.unique(text[asked] * len(used) + place[asked], return_counts=True)
+    borders = np.searchsorted(pairs, np.arange(len(chunk) + 1) * len(used)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(borders), pa.array(x)) for x in (ids[pairs % max(len(used), 1)], counts)]
+    return sums, lists
+
+
+def score(
+    docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text", words: DataFrame | None = None
+) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, per_token), one row per row of `docs`: of the words, with the
+    table of `count_words`; without it of their classes only.
 
     Null, empty and blank texts have no tokens, log_prob 0 and a null mean. Rows with null or
     repeated ids are scored like others. An empty table gives no rows.
     """
-    given = docs.sparkSession.sparkContext.broadcast(weights)
+    known = None if words is None else WordLogs(words)
+    given = docs.sparkSession.sparkContext.broadcast((weights, known))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, known = views(given.value.copy()), Classes()
+        weights, known = given.value
+        w, own = views(weights.copy()), Words()
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            counts, sums = [], []
-            for chunk in _chunks(batch.column(1), known):
-                contexts, targets, number = windows(chunk)
-                total = np.zeros(len(chunk))
-                for start in range(0, len(targets), STEP_TOKENS):
-                    own = slice(start, start + STEP_TOKENS)
-                    logs = forward(w, contexts[:, own], targets[own])[-1]
-                    total += np.bincount(number[own], logs.astype(np.float64), len(chunk))
-                counts += [len(t) for t in chunk]
-                sums += total.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())],
-                ["doc_id", "n_tokens", "log_prob"],
-            )
+            done = 0
+            for chunk in _chunks(batch.column(1), own):
+                sums = _class_logs(w, _classes(chunk, own))
+                lists = [pa.nulls(len(chunk), pa.list_(pa.int64()))] * 2
+                if known is not None:
+                    more, lists = _word_logs(chunk, own, known)
+                    sums = sums + more
+                arrays = [
+                    pa.array(np.arange(row, row + len(chunk))),
+                    batch.column(0).slice(done, len(chunk)),
+                    pa.array([len(x) for x in chunk], pa.int64()),
+                    pa.array(sums),
+                    *lists,
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_tokens", "log_prob", "ids", "counts"])
+                row, done = row + len(chunk), done + len(chunk)
+                _forget(own)
 
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    found = source.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double")
+    schema = f"row long, doc_id {kind}, n_tokens long, log_prob double, ids array<long>, counts array<long>"
+    found = source.mapInArrow(run, schema)
+    if words is None:
+        found = found.select("doc_id", "n_tokens", "log_prob")
+    else:
+        found = _with_rare_words(found, words)
     return found.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
+def _with_rare_words(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds log(count + UNSEEN) of the listed words: one row for each text and word is joined by
+    word (none of them hot, as hot ones are not listed) and added up by text. Texts that list
+    none have a key of their own."""
+    listed = found.select("row", "doc_id", "n_tokens", "log_prob", F.posexplode_outer(F.arrays_zip("ids", "counts")).alias("pos", "x"))
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    once = [F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_tokens", "log_prob")]
+    pairs = listed.select("row", *once, F.coalesce("x.ids", "row").alias("id"), F.col("x.counts").alias("times"))
+    joined = pairs.join(words.select("id", "n"), "id", "left")
+    more = F.coalesce(F.col("times") * F.ln(F.coalesce("n", F.lit(0)) + UNSEEN), F.lit(0.0))
+    return (
+        joined.groupBy("row")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("n_tokens").alias("n_tokens"),
+            F.sum(F.coalesce("log_prob", F.lit(0.0)) + more).alias("log_prob"),
+        )
+        .drop("row")
+    )
+
+
 def pseudo_likelihood(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on all of `docs`, then score all of it; see `score` for the columns."""
-    return score(docs, train(docs, text), id, text)
+    """Train and count on all of `docs`, then score all of it; see `score` for the columns."""
+    return score(docs, train(docs, text), id, text, count_words(docs, text))
