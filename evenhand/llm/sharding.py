@@ -16,6 +16,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from evenhand.llm.common import checkpoint, lookup, text_key
 
 BUCKET_UNITS = 4_000
 ROW_BYTES = 16
+ORDER = "__input_order"
 
 
 def difference(sums: np.ndarray) -> np.ndarray:
@@ -130,9 +132,24 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text") -> DataFrame:
+def input_order(docs: DataFrame) -> DataFrame:
+    """`docs` with a column ORDER by which rows come as they were written: of Parquet files the place in
+    the file, files by name, otherwise the place in the partitions."""
+    try:
+        path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        return docs.withColumn(ORDER, F.struct(F.length(path).alias("n"), path.alias("path"), row.alias("row")))
+    except AnalysisException:  # no scan of Parquet files
+        return docs.withColumn(ORDER, F.monotonically_increasing_id())
+
+
+def shard(
+    docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", order: str | None = None
+) -> DataFrame:
     """One row per document: id, size, text_crc32, shard, slot (gapless in its shard).
 
+    With the name of an `order` column, slots inside a shard follow it (rows are dealt by ranges of
+    it, without their texts); ties, and rows without it, are in no particular order.
+
     A null text has no bytes and forms a group with other null texts; an empty text is another
     group. Rows with a null or repeated id are rows like others. A group larger than the mean
     shard stays whole (it is indivisible) and gets a shard without other large groups. An
@@ -143,11 +160,13 @@ def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "te
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
         text_key(F.col(text)).alias("group"),
+        *([F.col(order).alias("order")] if order else []),
     )
     rows = checkpoint(rows)
     groups = checkpoint(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     placed = checkpoint(assign_groups(groups, shards).select("group", "n", "shard"))
-    found = checkpoint(lookup(rows, placed, "group", "n", ["doc_id", "text_crc32"]))
+    found = lookup(rows, placed, "group", "n", ["doc_id", "text_crc32"])
+    found = checkpoint(found.repartitionByRange("order") if order else found)
     # The partitions of a checkpoint are fixed: a row's partition is a bounded part of its shard.
     found = found.withColumn("part", F.spark_partition_id())
     ahead = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -157,7 +176,8 @@ def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "te
         .withColumn("offset", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
         .select("shard", "part", "offset")
     )
-    inside = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
+    inside = W.partitionBy("shard", "part").orderBy(*(["order"] if order else []), "doc_id", "text_crc32", "size")
+    inside = F.row_number().over(inside)
     return found.join(offsets, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("offset") + inside - 1).cast("long").alias("slot")
     )

@@ -70,3 +70,37 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     sizes = [r.n for r in found.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
     assert len(sizes) == 40 and max(sizes) < 3 * min(sizes)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixture", "shards"]
+
+
+def written(spark, folder, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_with_odd_rows_and_empty_tables(spark, tmp_path, odd_rows):
+    """Nulls in any column, empty and long texts, repeated rows, no labels, no benchmark, no rows."""
+    docs = [(*r, None if i % 3 else "en", None) for i, r in enumerate(odd_rows)]
+    found = corpus_pipeline.run(spark, written(spark, tmp_path / "a", docs, [], [(None, None), (1, "")])).collect()
+    kept = {r.doc_id for r in found}
+    assert 204 in kept and 5 in kept and kept <= {r[0] for r in odd_rows}
+    assert not kept & {200, 201, 202, 203}  # without words they are never taken
+    assert corpus_pipeline.run(spark, written(spark, tmp_path / "b", [], [], [])).collect() == []
+
+
+def test_pipeline_slots_follow_the_training_order(spark, tmp_path):
+    docs = [(i, prose(i, 30 + i % 40), f"s{i % 4}", "en", 1) for i in range(200)]
+    folder = written(spark, tmp_path, docs, [], [(1, prose(9000, 20))])
+    mixed = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{folder}/{stage.__name__}"
+        stage(spark, mixed, folder).write.parquet(path)
+        mixed = spark.read.parquet(path)
+    files = sorted((tmp_path / "mix_sources").glob("part-*.parquet"))
+    order = [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()]
+    found = corpus_pipeline.shard_documents(spark, mixed, folder).collect()
+    shard = {r.doc_id: r.shard for r in found}
+    for number in set(shard.values()):
+        own = sorted((r.slot, r.doc_id) for r in found if r.shard == number)
+        assert [d for _, d in own] == [d for d in order if shard[d] == number]

@@ -3,7 +3,11 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from evenhand.llm import sharding
+from evenhand.llm.common import checkpoint
+from tests.llm.conftest import prose
 
 
 def test_difference_is_the_textbook_example():
@@ -50,3 +54,26 @@ def test_levels_give_equal_bytes(spark, monkeypatch):
     rows = [(i, "x" * (i * 37 % 501)) for i in range(4000)]
     size = check(rows, sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect(), 6)
     assert max(size.values()) - min(size.values()) <= 517
+
+
+def test_slots_follow_the_input_order(spark, tmp_path):
+    """Rows of a checkpoint and of Parquet files of different sizes, repeats included."""
+    texts = [(i, prose(i % 90, 3 + i % 40 * (1 + 9 * (i < 60)))) for i in range(400)]
+    docs = spark.createDataFrame(texts + texts[:50], "doc_id long, text string")
+    ordered = docs.repartitionByRange(6, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id"))
+    ordered.write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        for given in (checkpoint(ordered), spark.read.parquet(str(tmp_path / "t"))):
+            found = sharding.shard(sharding.input_order(given), 5, order=sharding.ORDER).collect()
+            assert len(found) == 450
+            by_shard = {}
+            for r in found:
+                by_shard.setdefault(r.shard, []).append((r.slot, r.doc_id))
+            where = {d: r.shard for r in found for d in [r.doc_id]}
+            expected = [r.doc_id for r in ordered.collect()]
+            for shard, rows in by_shard.items():
+                assert [s for s, _ in sorted(rows)] == list(range(len(rows)))
+                assert [d for _, d in sorted(rows)] == [d for d in expected if where[d] == shard]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
