@@ -29,8 +29,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row."""
-    return sharding.shard(docs)
+    """doc_id, size, text_crc32, shard, slot of every row; slots follow the training order, in which
+    the rows come."""
+    return sharding.shard(sharding.input_order(docs), order=sharding.ORDER)
 
 
 STAGES = [
