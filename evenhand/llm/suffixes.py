@@ -1,4 +1,4 @@
-"""Removal of repeated passages by blockwise suffix sorting with difference-cover ranks.
+"""Removal of repeated passages by blockwise grouping of suffixes with difference-cover ranks.
 
 A byte goes if a string of LENGTH bytes that covers it starts at another place of the corpus, in
 another text or in the same one. All whole texts are searched.
@@ -8,12 +8,14 @@ another text or in the same one. All whole texts are searched.
    same least gram at the same place, so they meet in one bucket, aligned at the gram. Buckets
    with one gram occurrence hold no repeat and are left out; tasks fold repeated hashes before
    the shuffle.
-2. Blockwise sorting. A task takes its buckets block by block. In a block the suffixes that
-   start equally far before their gram are sorted by their first bytes; long ties are resolved by
-   ranks that are computed before for a sample of the columns, a difference cover of period 16: any
-   two columns have an equal offset below 16 that leads both into the sample. A sample rank
-   orders 128 bytes, so two of them and two short ends decide LENGTH bytes. Neighbours of equal
-   keys are compared byte by byte. Memory is bounded by the block, and by the longest bucket part.
+2. Blockwise grouping. A task takes its buckets block by block. In a block the suffixes that
+   start equally far before their gram are grouped by their first LENGTH bytes: by a few bytes at both
+   ends and by ranks that are computed before for a sample of the columns, a difference cover of
+   period 16. A sample rank stands for 128 bytes, so two of them and two short ends decide LENGTH
+   bytes. Ranks number equal strings, they are not in lexicographic order, and rows are sorted by a
+   hash with neighbours compared byte by byte: removal asks only which suffixes are equal, and all that
+   meet start at the same column, so the full order of the suffixes is not built. Memory is bounded
+   by the block, and by the longest bucket part.
 3. Buckets of more than PART_ROWS occurrences are cut into parts. What is not settled inside a part
    is compared over parts by a 128-bit digest, combined before its shuffle.
 4. The runs found are cut out of the texts that have any; other texts are never moved whole again.
