@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -27,9 +27,12 @@ from evenhand import fixed_values as fv
 from evenhand.functions.text import model_terms_sql, stable_hash, term_runs
 from evenhand.functions.unnest import inline_rows
 from evenhand.operators import ranks
+from evenhand.sources.shared import checkpointed
 
 LOG = logging.getLogger(__name__)
 BLOCK = 4_096  # numbers of a partial vector that travel together
+COUNTERS = 500_000  # terms of a task's summary, at most four times as many
+LISTED_TERMS = 1_000_000  # candidates that every task gets a list of
 FAN_IN = 32  # pieces of a block that one task adds
 TIE_DIGITS = 9
 DENSE_FEATURES = 1_000  # features whose matrix of products fits the driver
@@ -45,27 +48,82 @@ def split(df: DataFrame, key: str = "id", seed: int = fv.SPLIT_SEED) -> tuple[Da
     return df.filter(~test), df.filter(test)
 
 
+def _summary(batches: Iterable[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
+    """(term, tf, df) of a task's documents with bounded memory, and one row without a term that has
+    the error in tf: Misra-Gries summaries. Beyond twice `counters` terms the count of the
+    term at place `counters` is taken off all, and terms with nothing left are forgotten."""
+    held, waiting, error = [], 0, 0
+    names = ["term", "tf", "df"]
+
+    def merged() -> pa.Table:
+        sums = pa.concat_tables(held).group_by("term").aggregate([("tf", "sum"), ("df", "sum")])
+        return sums.select(["term", "tf_sum", "df_sum"]).rename_columns(names)
+
+    for batch in batches:
+        runs = batch.column(0).flatten()
+        held.append(pa.table([runs.field("term"), runs.field("cnt"), np.ones(len(runs), np.int64)], names=names))
+        waiting += len(runs)
+        if waiting > 2 * counters:
+            found = merged()
+            if len(found) > 2 * counters:
+                tf = found["tf"].to_numpy()
+                cut = int(np.partition(tf, -counters)[-counters])
+                error += cut
+                found = found.set_column(1, "tf", pa.array(tf - cut)).filter(pa.array(tf > cut))
+            held, waiting = [found], 0
+    if held:
+        yield from merged().to_batches()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([error]), pa.array([0])], names)
+
+
 def vocabulary(
-    docs: DataFrame, text: str = "comment_text", max_features: int = fv.VOCABULARY_SIZE
+    docs: DataFrame,
+    text: str = "comment_text",
+    max_features: int = fv.VOCABULARY_SIZE,
+    counters: int = COUNTERS,
 ) -> DataFrame:
     """(term, tf, df) of the most frequent unigrams and bigrams, ties in term order.
 
-    Terms are counted inside each document and combined before the shuffle. The last term that
-    belongs to the vocabulary is found by a search over ranks, then a filter keeps it and those
-    before it; no task collects candidates of all others.
+    Every task sends a summary of its terms, at most four times `counters`, with the most that a count can
+    be short of; the errors of all tasks add up to E. Where E is 0 the sums are exact. Otherwise the
+    count at the vocabulary's last place, short as it may be, is a floor for the true one, and only
+    terms whose count can reach it with E more are counted again, exactly. Should the floor not be above
+    E, terms that no summary holds could belong, and all terms are counted. The last term is found
+    by a search over ranks, then a filter keeps it and those before it; no task collects
+    candidates of all others.
     """
-    runs = inline_rows(docs, [], term_runs(F.expr(model_terms_sql(text))), "term")
-    counted = runs.groupBy("term").agg(F.sum("cnt").alias("tf"), F.count("*").alias("df"))
-    counted = counted.withColumn("fewer", -F.col("tf")).persist()
-    n_terms = counted.count()
-    if n_terms > max_features:
+    runs = docs.select(term_runs(F.expr(model_terms_sql(text))).alias("runs"))
+    parts = checkpointed(
+        runs.mapInArrow(lambda batches: _summary(batches, counters), "term string, tf long, df long")
+    )
+    error = parts.filter("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("error")).first()["error"]
+    sums = [F.sum("tf").alias("tf"), F.sum("df").alias("df")]
+    counted = checkpointed(parts.filter("term is not null").groupBy("term").agg(*sums))
+    if error:
+        last = _last_term(counted, max_features)
+        every = inline_rows(runs, [], F.col("runs"), "term").select("term", F.col("cnt").alias("tf"), F.lit(1).alias("df"))
+        if last is not None and -last[0] > error:
+            possible = counted.filter(F.col("tf") + error >= -last[0]).select("term")
+            small = possible.count() <= LISTED_TERMS  # otherwise all terms meet them in a shuffle
+            every = every.join(F.broadcast(possible) if small else possible, "term", "left_semi")
+        counted = checkpointed(every.groupBy("term").agg(*sums))
+    last = _last_term(counted, max_features)
+    if last is not None:
         columns = ["fewer", "term"]
-        last = ranks.keys_at_ranks(counted, columns, [max_features - 1], n_terms)[max_features - 1]
-        types = [counted.schema[c].dataType for c in columns]
-        counted = counted.filter(ranks.before(columns, types, last, True))
+        ordered = counted.withColumn("fewer", -F.col("tf"))
+        counted = ordered.filter(ranks.before(columns, [ordered.schema[c].dataType for c in columns], last, True))
     return counted.select("term", "tf", "df").orderBy(F.desc("tf"), "term")
 
 
+def _last_term(counted: DataFrame, max_features: int) -> tuple | None:
+    """(-tf, term) at the vocabulary's last place; None if there are no more terms than places."""
+    n_terms = counted.count()
+    if n_terms <= max_features:
+        return None
+    ordered = counted.select((-F.col("tf")).alias("fewer"), "term")
+    return ranks.keys_at_ranks(ordered, ["fewer", "term"], [max_features - 1], n_terms)[max_features - 1]
+
+
 def smoothed_idf(df: str, n_docs: Column) -> Column:
     return F.ln((n_docs + 1) / (F.col(df) + 1)) + 1
 

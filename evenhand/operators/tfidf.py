@@ -18,8 +18,10 @@ from evenhand import fixed_values as fv
 from evenhand.functions.numbers import strict_number, strip
 from evenhand.functions.text import clean_tokens, term_runs
 from evenhand.functions.unnest import explode_rows, inline_rows
+from evenhand.sources.shared import checkpointed
 
 KEY_BITS = 1 << 20  # of the bitmap of requested keys
+TERM_BITS = 1 << 22  # of the bitmap of requested terms
 HOT_TERMS = 10_000  # a term of over 1 / HOT_TERMS of all pairs is hot: at most so many are
 
 
@@ -28,10 +30,14 @@ def document_frequency(
     text: str = "comment_text",
     min_df: int = fv.MIN_DOC_FREQ,
     stopwords: Sequence[str] = fv.STOPWORDS,
+    among: Column | None = None,
 ) -> DataFrame:
-    """(term, df): documents that contain the term, rare terms dropped."""
+    """(term, df): documents that contain the term, rare terms dropped; ``among`` is an optional
+    condition on ``term``, applied before anything is shuffled."""
     distinct = F.array_distinct(clean_tokens(F.col(text), stopwords))
     terms = explode_rows(docs, [], distinct, "term")
+    if among is not None:
+        terms = terms.filter(among)
     return (
         terms.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     )
@@ -224,8 +230,8 @@ def lookup(
     The requested term is lower-cased and stripped of white space, but not tokenised. A rare term counts
     with frequency 0. Requests for unknown documents are left out (``missing_documents``).
     A document that very many requests name is handled by salting the existence check; the
-    look-up itself is keyed by document and term. A bitmap of the requested keys, of fixed size and read
-    first, keeps nearly all texts that nobody asked for out of the shuffle.
+    look-up itself is keyed by document and term. Bitmaps of the requested keys and terms, of fixed size
+    and read first, keep nearly all texts and terms that nobody asked for out of the shuffles.
     """
     wanted = requests.select(key, strip(F.lower("term")).alias("term")).distinct()
     keys = wanted.select(key).distinct()
@@ -239,7 +245,10 @@ def lookup(
     )
     found = in_range.join(counts, [key, "term"], "left")
     weight = tf(F.col("cnt"), F.col("doc_len")) * idf(F.col("df"), _n_docs(docs))
-    return with_frequency(found, document_frequency(docs, text, min_df), key).select(
+    # Only requested terms are counted, in one scan; the table is used twice.
+    asked = may_hold("term", key_bits(wanted.select("term").distinct(), "term", TERM_BITS))
+    frequency = checkpointed(document_frequency(docs, text, min_df, among=asked))
+    return with_frequency(found, frequency, key).select(
         key, "term", F.coalesce(weight, F.lit(0.0)).alias("tfidf")
     )
 

@@ -91,3 +91,43 @@ def test_coefficient_tables(train, tmp_path):
     loaded = PipelineModel.load(str(tmp_path / "model"))
     a = textmodel.score(model, train).agg(F.sum("local_score")).first()[0]
     assert textmodel.score(loaded, train).agg(F.sum("local_score")).first()[0] == pytest.approx(a)
+
+
+@pytest.mark.parametrize("counters", [3, 20, 60, 1000])
+def test_vocabulary_from_summaries_is_exact(spark, counters):
+    """Few counters: terms are counted again, all of them where the floor is not above the error."""
+    rng = np.random.default_rng(counters)
+    words = [f"w{i}" for i in range(60)]
+    share = 1 / np.arange(1, 61) ** 1.5
+    texts = [" ".join(rng.choice(words, size=int(rng.integers(0, 30)), p=share / share.sum())) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(999, None), (1000, "")], "id long, comment_text string").repartition(5)
+    tf, df = {}, {}
+    for t in texts:
+        own = t.split()
+        own += [f"{a} {b}" for a, b in zip(own, own[1:])]
+        for x in own:
+            tf[x] = tf.get(x, 0) + 1
+        for x in set(own):
+            df[x] = df.get(x, 0) + 1
+    for size in (5, 40, 10_000):
+        kept = sorted(tf, key=lambda x: (-tf[x], x))[:size]
+        got = textmodel.vocabulary(docs, max_features=size, counters=counters).collect()
+        assert [(r["term"], r["tf"], r["df"]) for r in got] == [(x, tf[x], df[x]) for x in kept]
+
+
+def test_summaries_bound_their_error():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    lists = [[{"term": f"t{i}", "cnt": int(c)} for i, c in zip(rng.integers(0, 500, 40), rng.integers(1, 4, 40))] for _ in range(60)]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("cnt", pa.int64())]))
+    true = {}
+    for own in lists:
+        for x in own:
+            true[x["term"]] = true.get(x["term"], 0) + x["cnt"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([own], kind)], ["runs"]) for own in lists]
+    rows = [r for b in textmodel._summary(batches, 30) for r in b.to_pylist()]
+    error = sum(r["tf"] for r in rows if r["term"] is None)
+    low = {r["term"]: r["tf"] for r in rows if r["term"] is not None}
+    assert 0 < error <= sum(true.values()) / 30 and len(low) <= 120
+    assert all(low.get(t, 0) <= n <= low.get(t, 0) + error for t, n in true.items())
