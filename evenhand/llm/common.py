@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key that holds more than 1/HOT_PARTS of all rows is hot: at most HOT_PARTS keys are.
+#: A key that holds more than one of so many parts of all rows is hot, so at most so many keys are:
+#: the session's shuffle partitions, and HOT_PARTS at least. A key that is not hot fits a partition.
 HOT_PARTS = 512
 
 
+def hot_parts(spark: SparkSession) -> int:
+    return max(HOT_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage by files in the shared folder that the session names.
 
-    Only where `spark.checkpoint.dir` is unset (tests) a folder of the warehouse is used.
+    Only on one machine (tests) may `spark.checkpoint.dir` be unset: a folder of the warehouse is used
+    then. On a cluster that may be a machine's own disk, so it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 
@@ -43,14 +51,14 @@ def lookup(
 ) -> DataFrame:
     """Join `right` (one row per `key`, `weight` = its rows in `left`) to `left`.
 
-    Hot keys (see HOT_PARTS, so a proven bound) are looked up in a broadcast list; their rows
+    Hot keys (see `hot_parts`, so a proven bound) are looked up in a broadcast list; their rows
     go through the shuffle of the others on a hash of the `spread` columns, which matches
     nothing. `right` is read twice: hand over a checkpoint where it is dear. Null keys of
     `left` find nothing and are spread likewise.
     """
     values = [c for c in right.columns if c not in (key, weight)]
     total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).scalar()
-    hot = right.filter(F.col(weight) > total / HOT_PARTS).select(
+    hot = right.filter(F.col(weight) > total / hot_parts(left.sparkSession)).select(
         F.col(key).alias("__hot_key"), F.struct(F.lit(1).alias("one"), *values).alias("__hot")
     )
     marked = left.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").drop("__hot_key")
