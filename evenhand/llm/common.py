@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenhand.sources.tables import PARTITIONS
+
 #: A key that holds more than one of so many parts of all rows is hot, so at most so many keys are:
 #: the session's shuffle partitions, and HOT_PARTS at least. A key that is not hot fits a partition.
 HOT_PARTS = 512
@@ -17,7 +19,11 @@ def hot_parts(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the session may name a number of partitions to deal documents out to, which is of
+    use where their file is a single row group."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    partitions = spark.conf.get(PARTITIONS, None)
+    return found if partitions is None or name != "documents" else found.repartition(int(partitions))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
