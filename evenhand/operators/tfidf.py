@@ -7,14 +7,14 @@ document needs no shuffle, because a document is one row. Only the document freq
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
+from evenhand.functions.bitmaps import bitmap, only_marked
 from evenhand.functions.numbers import strict_number, strip
 from evenhand.functions.text import clean_tokens, term_runs
 from evenhand.functions.unnest import explode_rows, inline_rows
@@ -30,14 +30,14 @@ def document_frequency(
     text: str = "comment_text",
     min_df: int = fv.MIN_DOC_FREQ,
     stopwords: Sequence[str] = fv.STOPWORDS,
-    among: Column | None = None,
+    among: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(term, df): documents that contain the term, rare terms dropped; ``among`` is an optional
-    condition on ``term``, applied before anything is shuffled."""
+    """(term, df): documents that contain the term, rare terms dropped; ``among`` may leave terms
+    out before anything is shuffled."""
     distinct = F.array_distinct(clean_tokens(F.col(text), stopwords))
     terms = explode_rows(docs, [], distinct, "term")
     if among is not None:
-        terms = terms.filter(among)
+        terms = among(terms)
     return (
         terms.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     )
@@ -199,24 +199,6 @@ def first_documents(docs: DataFrame, key: str = "id", n: int = 10) -> DataFrame:
     return docs.orderBy(key).limit(n)
 
 
-def key_bits(keys: DataFrame, key: str, bits: int = KEY_BITS) -> bytearray:
-    """A bitmap of fixed size with the hashes of all keys, gathered as one row for each byte."""
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    marks = keys.select(F.floor(place / 8).alias("byte"), F.pow(F.lit(2), place % 8).cast("int").alias("bit"))
-    found = marks.groupBy("byte").agg(F.bit_or("bit").alias("value")).toArrow()
-    bitmap = np.zeros(bits // 8, np.uint8)
-    bitmap[found["byte"].to_numpy()] = found["value"].to_numpy()
-    return bytearray(bitmap.tobytes())
-
-
-def may_hold(key: str, bitmap: bytearray) -> Column:
-    """False only for keys that are not in the bitmap."""
-    place = F.pmod(F.xxhash64(key), F.lit(len(bitmap) * 8))
-    byte = F.substring(F.lit(bitmap), F.floor(place / 8).cast("int") + 1, F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.getbit(value, (place % 8).cast("int")) == 1
-
-
 def lookup(
     requests: DataFrame,
     docs: DataFrame,
@@ -235,7 +217,8 @@ def lookup(
     """
     wanted = requests.select(key, strip(F.lower("term")).alias("term")).distinct()
     keys = wanted.select(key).distinct()
-    asked_docs = docs.filter(may_hold(key, key_bits(keys, key))).join(keys, key, "left_semi")
+    held = only_marked(docs, key, bitmap(keys, key, KEY_BITS), KEY_BITS)
+    asked_docs = held.join(keys, key, "left_semi")
     counts = term_counts(asked_docs, key, text)
     existing = asked_docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     in_range = (
@@ -246,8 +229,9 @@ def lookup(
     found = in_range.join(counts, [key, "term"], "left")
     weight = tf(F.col("cnt"), F.col("doc_len")) * idf(F.col("df"), _n_docs(docs))
     # Only requested terms are counted, in one scan; the table is used twice.
-    asked = may_hold("term", key_bits(wanted.select("term").distinct(), "term", TERM_BITS))
-    frequency = checkpointed(document_frequency(docs, text, min_df, among=asked))
+    asked = bitmap(wanted, "term", TERM_BITS)
+    among = lambda terms: only_marked(terms, "term", asked, TERM_BITS)
+    frequency = checkpointed(document_frequency(docs, text, min_df, among=among))
     return with_frequency(found, frequency, key).select(
         key, "term", F.coalesce(weight, F.lit(0.0)).alias("tfidf")
     )

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from evenhand.functions import bitmaps
 from evenhand.operators import tfidf
 from evenhand.plans import audits
 
@@ -131,18 +132,22 @@ def test_labels_join_vectors_not_texts(spark, sf_dir):
 
 def test_bitmap_of_keys(spark):
     keys = spark.range(0, 4000, 7).withColumnRenamed("id", "key")
-    bitmap = tfidf.key_bits(keys, "key", 1 << 16)
-    assert len(bitmap) == 1 << 13
-    every = spark.range(0, 40_000).withColumnRenamed("id", "key").filter(tfidf.may_hold("key", bitmap))
-    assert keys.join(every, "key", "left_anti").count() == 0  # no key is lost
-    assert every.count() < 4000  # and few others pass
-    text_keys = spark.createDataFrame([("a",), (None,), ("é",)], "key string")
-    bitmap = tfidf.key_bits(text_keys, "key")
-    assert text_keys.filter(tfidf.may_hold("key", bitmap)).count() == 3
+    found = bitmaps.bitmap(keys, "key", 1 << 16)
+    assert found.count() <= 1 << 11
+    every = spark.range(0, 40_000).withColumnRenamed("id", "key")
+    kept = bitmaps.only_marked(every, "key", found, 1 << 16)
+    assert kept.columns == ["key"]
+    assert keys.join(kept, "key", "left_anti").count() == 0  # no key is lost
+    assert kept.count() < 4000  # and few others pass
+    texts = spark.createDataFrame([("a",), (None,), ("é",)], "key string")
+    marks = bitmaps.marked(texts, "key", bitmaps.bitmap(texts, "key", 1 << 10), 1 << 10, "m")
+    assert [r.m for r in marks.collect()] == [True] * 3
+    nothing = bitmaps.bitmap(texts.limit(0), "key", 1 << 10)
+    assert bitmaps.only_marked(texts, "key", nothing, 1 << 10).count() == 0
 
 
 def test_texts_nobody_asked_for_are_not_shuffled(spark):
-    """With broadcasts off, the filter stands below the exchange of the texts."""
+    """With Spark's own broadcasts off, the bitmap stands below the exchange of the texts."""
     docs = spark.range(500).selectExpr("id", "concat('word', id % 50, ' other') comment_text")
     asked = spark.createDataFrame([(3, "word3"), (4, "absent"), (900, "word1")], "id long, term string")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -150,7 +155,7 @@ def test_texts_nobody_asked_for_are_not_shuffled(spark):
     try:
         found = tfidf.lookup(asked, docs, min_df=1)
         assert sorted((r.id, r.term, r.tfidf > 0) for r in found.collect()) == [(3, "word3", True), (4, "absent", False)]
-        kept = docs.filter(tfidf.may_hold("id", tfidf.key_bits(asked, "id")))
+        kept = bitmaps.only_marked(docs, "id", bitmaps.bitmap(asked, "id", 1 << 20), 1 << 20)
         assert kept.count() < 20
         joined = kept.join(asked.select("id").distinct(), "id", "left_semi")
         plan = joined._jdf.queryExecution().optimizedPlan().toString()
