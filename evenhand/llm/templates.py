@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenhand.functions.bitmaps import bitmap, marked, only_marked
 from evenhand.llm.common import checkpoint, lookup
 
 DEPTH = 3
@@ -85,24 +86,6 @@ def needed(min_docs: int | None) -> Column:
     return F.when(long_line, LONG_DOCS).otherwise(MIN_DOCS) if min_docs is None else F.lit(min_docs)
 
 
-def bitmap(keys: DataFrame) -> bytearray:
-    """A bitmap of BITS bits with the hashes of all keys."""
-    place = F.pmod(F.xxhash64("key"), F.lit(BITS))
-    bit = F.pow(F.lit(2), place % 32).cast("long")
-    words = keys.select(F.floor(place / 32).alias("word"), bit.alias("bit"))
-    out = bytearray(BITS // 8)
-    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        out[4 * row["word"] : 4 * row["word"] + 4] = row["bits"].to_bytes(4, "little")
-    return out
-
-
-def may_hold(bits: bytearray) -> Column:
-    """False only for a `key` that is not in the bitmap."""
-    place = F.pmod(F.xxhash64("key"), F.lit(BITS))
-    byte = F.hex(F.substring(F.lit(bits), F.floor(place / 8).cast("int") + 1, F.lit(1)))
-    return F.getbit(F.conv(byte, 16, 10).cast("int"), (place % 8).cast("int")) == 1
-
-
 def line_tokens(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """(leaf, line, docs, uses, tokens): hashes of the tokens of distinct lines, from one text that
     holds each; fields are null."""
@@ -111,10 +94,11 @@ def line_tokens(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(entry)).alias("wanted")
     )
     wanted = checkpoint(wanted)
-    texts = keyed.filter(may_hold(bitmap(wanted))).groupBy("key").agg(F.first("text").alias("text"))
+    held = only_marked(keyed, "key", bitmap(wanted, "key", BITS), BITS)
+    texts = held.groupBy("key").agg(F.first("text").alias("text"))
     held = texts.join(wanted, "key").select("wanted", F.explode(plain_lines(F.col("text"))).alias("plain"))
-    marked = held.select("wanted", "plain", mark(F.col("plain")).alias("m")).filter("m is not null")
-    found = marked.select(
+    lines_of = held.select("wanted", "plain", mark(F.col("plain")).alias("m")).filter("m is not null")
+    found = lines_of.select(
         "m.leaf", "m.line", "plain", F.try_element_at("wanted", F.col("m.line")).alias("own")
     ).filter("own is not null")
     token = lambda t: F.when(t != FIELD, F.xxhash64(t))
@@ -191,10 +175,11 @@ def drop_template_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     """
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), key_of(F.col(text)).alias("key"))
     bad = checkpoint(dropped_lines(docs, id, text, min_docs))
-    touched = F.coalesce(may_hold(bitmap(bad)) & F.col("text").isNotNull(), F.lit(False))
+    source = marked(source, "key", checkpoint(bitmap(bad, "key", BITS)), BITS, "touched")
+    touched = F.col("touched") & F.col("text").isNotNull()
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines(F.col("text")))).cast("long")
     same = source.filter(~touched).select("doc_id", "text", size.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    joined = lookup(source.filter(touched), bad, "key", "n", ["doc_id"])
+    joined = lookup(source.filter(touched).drop("touched"), bad, "key", "n", ["doc_id"])
     which = F.transform(plain_lines(F.col("text")), lambda line: F.array_contains(F.col("bad"), F.xxhash64(line)))
     split = joined.select("doc_id", "text", "bad", lines(F.col("text")).alias("lines"), which.alias("drop"))
     kept = F.filter("lines", lambda line, i: ~F.get(F.col("drop"), i))

@@ -112,11 +112,3 @@ def test_one_million_characters_without_a_blank(spark):
     found = {r.doc_id: (r.text, r.n_dropped) for r in tp.drop_template_lines(docs).collect()}
     assert time.perf_counter() - start < 60
     assert {k: v[0] for k, v in found.items()} == dict(rows)
-
-
-def test_bitmap_keeps_every_key(spark):
-    docs = spark.range(3000).selectExpr("unhex(md5(cast(id as string))) key")
-    some = docs.limit(700)
-    bits = tp.bitmap(some)
-    assert some.filter(tp.may_hold(bits)).count() == 700
-    assert docs.filter(tp.may_hold(bits)).count() < 800
