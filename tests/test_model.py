@@ -131,3 +131,56 @@ def test_summaries_bound_their_error():
     low = {r["term"]: r["tf"] for r in rows if r["term"] is not None}
     assert 0 < error <= sum(true.values()) / 30 and len(low) <= 120
     assert all(low.get(t, 0) <= n <= low.get(t, 0) + error for t, n in true.items())
+
+
+def sparse_rows(spark, n, features, parts):
+    rng = np.random.default_rng(2)
+    data, dense, labels = [], np.zeros((n, features)), rng.random(n)
+    for i in range(n):
+        own = sorted(rng.choice(features, size=int(rng.integers(0, 6)), replace=False).tolist())
+        values = rng.random(len(own)).tolist()
+        dense[i, own] = values
+        data.append((own, values, float(labels[i])))
+    rows = spark.createDataFrame(data, "indices array<int>, values array<double>, label double").repartition(parts)
+    return rows.persist(), dense, labels
+
+
+def test_tree_of_partial_vectors(spark, monkeypatch):
+    """Several levels of the tree and several blocks, the last one short; no block of zeros."""
+    monkeypatch.setattr(textmodel, "FAN_IN", 3)
+    monkeypatch.setattr(textmodel, "BLOCK", 4)
+    rows, dense, labels = sparse_rows(spark, 200, 18, 23)
+    n, mean, parts = textmodel._head(rows)
+    assert (n, parts) == (200, 23) and mean == pytest.approx(labels.mean())
+
+    def sums(batches):
+        out = np.zeros(18)
+        for batch in batches:
+            _, indices, values, _ = textmodel._row_lists(batch)
+            out += np.bincount(indices, values, 18)
+        return out
+
+    for n_parts in (23, 1, 500):  # the number only shapes the tree
+        assert textmodel.total(rows, n_parts, 18, sums) == pytest.approx(dense.sum(axis=0))
+    exact, steps = textmodel.normal_equations(rows, 18), textmodel.ridge(rows, 18, tolerance=1e-12)
+    w, b = closed_form(dense, labels, 1.0)
+    for found in (exact, steps):
+        assert found.coefs == pytest.approx(w, abs=1e-9) and found.intercept == pytest.approx(b, abs=1e-9)
+    assert exact.passes == 2 and 4 <= steps.passes <= 22
+    with pytest.raises(ValueError, match="too large a matrix"):
+        textmodel.normal_equations(rows, textmodel.DENSE_FEATURES + 1)
+    with pytest.raises(ValueError, match="no rows"):
+        textmodel.ridge(rows.filter("label > 2"), 18)
+
+
+def test_closed_form_pipeline_and_positions(train):
+    small, large = (textmodel.fit(train, max_features=12, closed_form=c) for c in (True, False))
+    coefs = textmodel.coefficients(small, train)
+    by_name = [{r["feature"]: r["coef"] for r in textmodel.coefficients(m, train).collect()} for m in (small, large)]
+    assert len(by_name[0]) == 12 and by_name[0] == pytest.approx(by_name[1], abs=1e-5)
+    rows = textmodel.extreme_coefficients(coefs, 3).collect()
+    assert [(r["side"], r["position"]) for r in rows] == [(s, i) for s in ("higher", "lower") for i in (1, 2, 3)]
+    ordered = sorted(((r["coef"], r["feature"]) for r in coefs.collect()), reverse=True)
+    assert [r["feature"] for r in rows[:3]] == [f for _, f in ordered[:3]]
+    ties = train.sparkSession.createDataFrame([("b", 0.1), ("a", 0.1 + 1e-13), ("c", 0.3)], "feature string, coef double")
+    assert [r["feature"] for r in textmodel.extreme_coefficients(ties, 3).collect()] == ["c", "a", "b", "a", "b", "c"]

@@ -112,3 +112,36 @@ def test_csv_sink_keeps_white_space_and_quotes(spark, tmp_path):
     sinks.write_table(df, str(tmp_path / "t"), "csv")
     back = {r["id"]: r["comment_text"] for r in src.csv_rows(spark, str(tmp_path / "t")).collect()}
     assert back == {str(i): t for i, t in enumerate(texts)}
+
+
+def test_rows_without_a_score_go_out_again(spark):
+    variants = spark.createDataFrame([("1", "a", "x"), ("1", "b", "y"), ("2", "a", "z")], "id string, variant_id string, t string")
+    scores = spark.createDataFrame([("1", "a", 0.5), ("1", "a", 0.6), ("2", "a", None)], "id string, variant_id string, s double")
+    left = src.unscored(variants, scores, ["id", "variant_id"])
+    assert sorted((r["id"], r["variant_id"]) for r in left.collect()) == [("1", "b"), ("2", "a")]
+    assert left.columns == ["id", "variant_id", "t"]
+
+
+def test_folder_names_with_escapes(spark, tmp_path):
+    values = ["plain", "a b", "50%", "x=y/z", "é+ü", None]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "id string, stratum string")
+    df.write.partitionBy("stratum").option("header", True).csv(str(tmp_path / "t"))
+    for whole in (False, True):
+        got = {r["id"]: r["stratum"] for r in src.csv_rows(spark, str(tmp_path / "t"), whole_files=whole).collect()}
+        assert got == {str(i): v for i, v in enumerate(values)}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from evenhand.sources import shared
+
+    class Cluster:
+        def __init__(self, master, folder=None):
+            self.sparkContext = type("C", (), {"master": master})
+            values = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "/w"}
+            self.conf = type("F", (), {"get": staticmethod(lambda key, default=None: values[key] or default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_root(Cluster("spark://host:7077"))
+    assert shared.shared_root(Cluster("spark://host:7077", "hdfs://x")) == "hdfs://x"
+    assert shared.shared_root(Cluster("local[2]")) == "/w/_shared"
+    assert shared.new_folder(spark, "a") != shared.new_folder(spark, "a")

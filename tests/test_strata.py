@@ -65,3 +65,21 @@ def test_keys_at_ranks_equal_sorting(spark, values, seed):
     wanted = sorted({seed % len(values), 0, len(values) - 1, len(values) // 2})
     got = ranks.keys_at_ranks(df, ["v"], wanted, len(values), sortable_rows=4)
     assert got == {r: (float(ordered[r]),) for r in wanted}
+
+
+def test_positions_of_a_sorted_table(spark):
+    """Ties by key, a score that holds most rows, empty partitions, an empty table."""
+    rows = [(i, 0.5 if i % 3 else (i * 7 % 11) / 11, "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, toxicity double, position string").drop("position").repartition(7)
+    found = strata.with_position(strata.ranked(df, "toxicity", "id")).collect()
+    expected = sorted((s, i) for i, s, _ in rows)
+    assert sorted((r["position"], r["toxicity"], r["id"]) for r in found) == [(n, s, i) for n, (s, i) in enumerate(expected, 1)]
+    assert strata.with_position(strata.ranked(df.limit(0), "toxicity", "id")).collect() == []
+
+
+def test_positions_of_identities(spark):
+    from evenhand.operators import profile
+
+    rows = [("b", 0.5), ("a", 0.5 + 1e-15), ("c", 0.9), ("d", None)]
+    df = spark.createDataFrame(rows, "identity string, mean_toxicity double")
+    assert {r["identity"]: r["position"] for r in profile.with_position(df).collect()} == {"c": 1, "a": 2, "b": 3, "d": 4}
