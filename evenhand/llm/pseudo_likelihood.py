@@ -118,36 +118,52 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def forward(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray):
+def _hidden(w: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
     hidden = w["b"] + w["E"][0][contexts[0]]
     for p in range(1, 2 * SIDE):
         hidden += w["E"][p][contexts[p]]
-    np.tanh(hidden, out=hidden)
-    first, second = targets >> 5, targets & (HALF - 1)
-    one = _log_softmax(w["W1"].T @ hidden.T + w["c1"][:, None])
+    return np.tanh(hidden, out=hidden)
+
+
+def _outputs(w: dict[str, np.ndarray], hidden: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What goes into both softmaxes, and the hidden values of the second."""
     joined = hidden + w["A"][first]
-    two = _log_softmax(w["W2"].T @ joined.T + w["c2"][:, None])
+    return w["W1"].T @ hidden.T + w["c1"][:, None], w["W2"].T @ joined.T + w["c2"][:, None], joined
+
+
+def forward(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Log-probability of every target."""
+    first, second = targets >> 5, targets & (HALF - 1)
+    one, two, _ = _outputs(w, _hidden(w, contexts), first)
     row = np.arange(len(targets))
-    return hidden, joined, one, two, first, second, one[first, row] + two[second, row]
+    return _log_softmax(one)[first, row] + _log_softmax(two)[second, row]
+
+
+def _excess(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Softmax of every column, less 1 at its target."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    x[target, np.arange(len(target))] -= 1
+    return x
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """values (one column for each entry of rows) summed by row number."""
-    return np.stack([np.bincount(rows, v, n) for v in values], axis=1).astype(np.float32)
+    out = np.empty((n, len(values)), np.float32)
+    for i, v in enumerate(values):
+        out[:, i] = np.bincount(rows, v, n)
+    return out
 
 
 def gradient(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Gradient of the mean negative log-probability, flat like the weights."""
-    hidden, joined, one, two, first, second, _ = forward(w, contexts, targets)
-    n = np.float32(len(targets))
-    row = np.arange(len(targets))
-    d_one, d_two = np.exp(one, out=one), np.exp(two, out=two)
-    d_one[first, row] -= 1
-    d_two[second, row] -= 1
-    d_one /= n
-    d_two /= n
+    first, second = targets >> 5, targets & (HALF - 1)
+    hidden = _hidden(w, contexts)
+    one, two, joined = _outputs(w, hidden, first)
+    d_one, d_two = _excess(one, first), _excess(two, second)
     d_joined = w["W2"] @ d_two
-    d_hidden = (w["W1"] @ d_one + d_joined) * (1 - hidden.T * hidden.T)
+    d_hidden = (w["W1"] @ d_one + d_joined) * (1 - hidden * hidden).T
     parts = {
         "E": np.stack([_summed(place, d_hidden, CLASSES + 1) for place in contexts]),
         "b": d_hidden.sum(axis=1),
@@ -157,7 +173,7 @@ def gradient(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray
         "W2": joined.T @ d_two.T,
         "c2": d_two.sum(axis=1),
     }
-    return np.concatenate([parts[name].ravel() for name in SHAPES])
+    return np.concatenate([parts[name].ravel() for name in SHAPES]) / np.float32(len(targets))
 
 
 def _chunks(column: pa.Array, words: Words) -> Iterator[list[np.ndarray]]:
@@ -178,10 +194,10 @@ def _classes(chunk: list[np.ndarray], words: Words) -> list[np.ndarray]:
     return [classes[numbers] for numbers in chunk]
 
 
-def _forget(words: Words) -> None:
+def _forget(words: Words, *given) -> None:
     if len(words) > KEPT_WORDS:
         words.clear()
-        words.__init__()
+        words.__init__(*given)
 
 
 class Trainer:
@@ -225,53 +241,72 @@ def _averaged(rows: DataFrame) -> np.ndarray | None:
     return mixed.astype(np.float32)
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """Weights trained on all tokens of all rows. Without tokens: the first, random weights."""
-    texts = docs.select(F.col(text).alias("text"))
-    weights = new_weights()
-    for _ in range(rounds):
-        given = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
-
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            trainer, words = Trainer(given.value), Words()
-            for batch in batches:
-                for chunk in _chunks(batch.column(0), words):
-                    trainer.learn(_classes(chunk, words))
-                    _forget(words)
-            if trainer.tokens:
-                yield pa.RecordBatch.from_pydict({"tokens": [trainer.tokens], "weights": [trainer.weights.tobytes()]})
-
-        found = _averaged(checkpoint(texts.mapInArrow(run, "tokens long, weights binary")))
-        weights = weights if found is None else found
-    return weights
-
-
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, class, n): occurrences of every word of all rows; grows with the corpus."""
+def read_words(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """One pass over all rows: (classes binary) of the words of every text, as 16-bit integers, and
+    (id, class, n) with the occurrences of every word, which grows with the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(), np.zeros(0, np.int64)
+        names = ["classes", "id", "class", "n"]
 
-        def rows(counts):
-            names = ["id", "class", "n"]
+        def counted(counts):
             for start in range(0, len(counts), CHUNK_TOKENS):
                 own = slice(start, start + CHUNK_TOKENS)
                 arrays = [np.array(words.ids[own]), np.array(words.classes[own], np.int32), counts[own]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+                texts = pa.nulls(len(arrays[0]), pa.binary())
+                yield pa.RecordBatch.from_arrays([texts, *[pa.array(x) for x in arrays]], names)
 
         for batch in batches:
             for chunk in _chunks(batch.column(0), words):
                 found = np.bincount(np.concatenate(chunk), minlength=len(words))
                 found[: len(counts)] += counts
                 counts = found
+                texts = pa.array([x.tobytes() for x in _classes(chunk, words)], pa.binary())
+                empty = [pa.nulls(len(chunk), kind) for kind in (pa.int64(), pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([texts, *empty], names)
                 if len(words) > KEPT_WORDS:
-                    yield from rows(counts)
+                    yield from counted(counts)
                     counts = np.zeros(0, np.int64)
                     _forget(words)
-        yield from rows(counts)
+        yield from counted(counts)
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "classes binary, id long, class int, n long")
+    rows = checkpoint(rows)
+    counts = rows.filter("id is not null").groupBy("id", "class").agg(F.sum("n").alias("n"))
+    return rows.filter("classes is not null").select("classes"), checkpoint(counts)
+
+
+def train_classes(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights trained on all texts of `read_words`. Without tokens: the first, random weights."""
+    weights = new_weights()
+    for _ in range(rounds):
+        given = texts.sparkSession.sparkContext.broadcast(weights)  # of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            trainer = Trainer(given.value)
+            for batch in batches:
+                chunk, size = [], 0
+                for value in batch.column(0):
+                    chunk.append(np.frombuffer(value.as_py(), np.int16))
+                    size += len(chunk[-1])
+                    if size >= CHUNK_TOKENS:
+                        trainer.learn(chunk)
+                        chunk, size = [], 0
+                trainer.learn(chunk)
+            if trainer.tokens:
+                yield pa.RecordBatch.from_pydict({"tokens": [trainer.tokens], "weights": [trainer.weights.tobytes()]})
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "id long, class int, n long")
-    return checkpoint(parts.groupBy("id", "class").agg(F.sum("n").alias("n")))
+        found = _averaged(checkpoint(texts.mapInArrow(run, "tokens long, weights binary")))
+        weights = weights if found is None else found
+    return weights
+
+
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+    return train_classes(read_words(docs, text)[0], rounds)
+
+
+def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    return read_words(docs, text)[1]
 
 
 class WordLogs:
@@ -303,27 +338,37 @@ def _class_logs(w: dict[str, np.ndarray], chunk: list[np.ndarray]) -> np.ndarray
     total = np.zeros(len(chunk))
     for start in range(0, len(targets), STEP_TOKENS):
         own = slice(start, start + STEP_TOKENS)
-        logs = forward(w, contexts[:, own], targets[own])[-1]
+        logs = forward(w, contexts[:, own], targets[own])
         total += np.bincount(number[own], logs.astype(np.float64), len(chunk))
     return total
 
 
-def _word_logs(chunk: list[np.ndarray], words: Words, known: WordLogs):
-    """For every text the sum of what tasks know of P(word | class), and the ids and counts of the
-    words that have to be looked up."""
+class KnownWords(Words):
+    """Words with what tasks know of log P(word | class), and whether the rest has to be looked up."""
+
+    def __init__(self, known: WordLogs | None) -> None:
+        super().__init__()
+        self.known, self.logs, self.rare = known, np.zeros(0), np.zeros(0, bool)
+
+    def grow(self) -> None:
+        ids, classes = (np.array(x[len(self.logs) :]) for x in (self.ids, self.classes))
+        logs = self.known.of(ids)
+        self.logs = np.append(self.logs, np.nan_to_num(logs) - self.known.divisors[classes])
+        self.rare = np.append(self.rare, np.isnan(logs))
+
+
+def _word_logs(chunk: list[np.ndarray], words: KnownWords):
+    """For every text the sum of what tasks know, and the ids and counts of words to be looked up."""
+    words.grow()
     numbers = np.concatenate(chunk)
     text = np.repeat(np.arange(len(chunk)), [len(x) for x in chunk])
-    used, place = np.unique(numbers, return_inverse=True)
-    ids, classes = np.array(words.ids)[used], np.array(words.classes)[used]
-    logs = known.of(ids)
-    rare = np.isnan(logs)
-    per_word = np.where(rare, 0.0, logs) - known.divisors[classes]
-    sums = np.bincount(text, per_word[place], len(chunk))
-    asked = rare[place]
-    pairs, counts = np.unique(text[asked] * len(used) + place[asked], return_counts=True)
-    borders = np.searchsorted(pairs, np.arange(len(chunk) + 1) * len(used)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(borders), pa.array(x)) for x in (ids[pairs % max(len(used), 1)], counts)]
-    return sums, lists
+    sums = np.bincount(text, words.logs[numbers], len(chunk))
+    asked = words.rare[numbers]
+    size = max(len(words.logs), 1)
+    pairs, counts = np.unique(text[asked] * size + numbers[asked], return_counts=True)
+    borders = np.searchsorted(pairs, np.arange(len(chunk) + 1) * size).astype(np.int32)
+    ids = np.array(words.ids)[pairs % size] if len(pairs) else np.zeros(0, np.int64)
+    return sums, [pa.ListArray.from_arrays(pa.array(borders), pa.array(x)) for x in (ids, counts)]
 
 
 def score(
@@ -340,7 +385,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = given.value
-        w, own = views(weights.copy()), Words()
+        w, own = views(weights.copy()), KnownWords(known)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             done = 0
@@ -348,7 +393,7 @@ def score(
                 sums = _class_logs(w, _classes(chunk, own))
                 lists = [pa.nulls(len(chunk), pa.list_(pa.int64()))] * 2
                 if known is not None:
-                    more, lists = _word_logs(chunk, own, known)
+                    more, lists = _word_logs(chunk, own)
                     sums = sums + more
                 arrays = [
                     pa.array(np.arange(row, row + len(chunk))),
@@ -359,7 +404,7 @@ def score(
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_tokens", "log_prob", "ids", "counts"])
                 row, done = row + len(chunk), done + len(chunk)
-                _forget(own)
+                _forget(own, known)
 
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -395,4 +440,5 @@ def _with_rare_words(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def pseudo_likelihood(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Train and count on all of `docs`, then score all of it; see `score` for the columns."""
-    return score(docs, train(docs, text), id, text, count_words(docs, text))
+    texts, words = read_words(docs, text)
+    return score(docs, train_classes(texts), id, text, words)
