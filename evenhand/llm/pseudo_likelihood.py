@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ ROUNDS = 2
 RATE = 0.08
 STEP_TOKENS = 4_096
 CHUNK_TOKENS = 1 << 18
+CHUNK_BYTES = 1 << 21  # of texts, or one text
 FAN_IN = 32
 PAD = CLASSES
 KEPT_WORDS = 500_000  # words that a task remembers
@@ -78,11 +80,15 @@ class Words(dict):
     def __init__(self) -> None:
         self.classes, self.ids = array("h"), array("q")
 
+    def learn(self, words: list[bytes]) -> None:
+        """Numbers for words that are new."""
+        self.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        self.classes.extend([zlib.crc32(w) & (CLASSES - 1) for w in words])
+        self.ids.extend([xxhash.xxh64_intdigest(w) - (1 << 63) for w in words])
+
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.ids)
-        self.classes.append(zlib.crc32(word) & (CLASSES - 1))
-        self.ids.append(xxhash.xxh64_intdigest(word) - (1 << 63))
-        return number
+        self.learn([word])
+        return self[word]
 
     def numbers(self, text: str | None) -> np.ndarray:
         """Of the words of a whole text, lower-cased (A-Z), cut at ASCII blanks."""
@@ -176,17 +182,30 @@ def gradient(w: dict[str, np.ndarray], contexts: np.ndarray, targets: np.ndarray
     return np.concatenate([parts[name].ravel() for name in SHAPES]) / np.float32(len(targets))
 
 
+def _numbers(texts: pa.Array, words: Words) -> list[np.ndarray]:
+    """Word numbers of every text; the words are cut and grouped by Arrow, each different one is
+    looked up once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = lists.flatten().dictionary_encode()
+    different = found.dictionary.cast(pa.binary()).to_pylist()
+    words.learn([w for w in different if w and w not in words])
+    places = np.array([words.get(w, -1) for w in different], np.int32)  # -1 for the empty word
+    numbers = places[found.indices.to_numpy()]
+    ends = lists.offsets.to_numpy()
+    full = numbers >= 0  # cutting leaves empty words at blank ends
+    kept = np.concatenate([[0], np.cumsum(full)])[ends - ends[0]]
+    return np.split(numbers[full], kept[1:-1])
+
+
 def _chunks(column: pa.Array, words: Words) -> Iterator[list[np.ndarray]]:
-    """The texts' word numbers, about CHUNK_TOKENS at a time; before a chunk `words` may forget."""
-    chunk, size = [], 0
-    for value in column:
-        chunk.append(words.numbers(value.as_py()))
-        size += len(chunk[-1])
-        if size >= CHUNK_TOKENS:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
+    """The texts' word numbers, about CHUNK_BYTES at a time; before a chunk `words` may forget."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
+    start = 0
+    while start < len(column):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")))
+        yield _numbers(column.slice(start, stop - start), words)
+        start = stop
 
 
 def _classes(chunk: list[np.ndarray], words: Words) -> list[np.ndarray]:

@@ -40,7 +40,7 @@ def test_gradient_is_the_slope():
 
 def test_scores_against_brute_force(odd_docs, odd_rows, no_docs, monkeypatch):
     monkeypatch.setattr(pl, "STEP_TOKENS", 50)
-    monkeypatch.setattr(pl, "CHUNK_TOKENS", 120)
+    monkeypatch.setattr(pl, "CHUNK_BYTES", 400)
     weights = pl.new_weights(3)
     got = sorted((str(r.doc_id), r.n_tokens, r.log_prob) for r in pl.score(odd_docs, weights).collect())
     w = pl.views(weights)
@@ -87,7 +87,7 @@ def test_word_scores_against_brute_force(odd_docs, odd_rows, monkeypatch, hot, k
     """All words hot, some, none; words forgotten on the way."""
     monkeypatch.setattr(pl, "HOT_WORDS", hot)
     monkeypatch.setattr(pl, "KEPT_WORDS", kept)
-    monkeypatch.setattr(pl, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(pl, "CHUNK_BYTES", 900)
     weights = pl.new_weights(3)
     rows = [r for r in odd_rows if r[0] != 205]  # str.split() knows more blanks than ASCII's
     docs = odd_docs.filter("doc_id is null or doc_id <> 205")
@@ -117,3 +117,18 @@ def test_a_rare_word_scores_lower_than_a_common_one_of_its_class(spark):
 
 def test_scores_of_an_empty_table(no_docs):
     assert pl.pseudo_likelihood(no_docs).collect() == []
+
+
+def test_words_by_arrow_are_words_by_python():
+    import pyarrow as pa
+
+    texts = [None, "", "  ", " a\tB\x0bc\x1cd \r\n", "É É é", "x" * 9, "one One ONE two", "\n\nlast"]
+    words, plain = pl.Words(), pl.Words()
+    for start in (0, 3):
+        got = pl._numbers(pa.array(texts)[start:], words)
+        back = {n: w for w, n in words.items()}
+        names = {n: w for w, n in plain.items()}
+        for text, numbers in zip(texts[start:], got, strict=True):
+            expected = plain.numbers(text)
+            names.update({n: w for w, n in plain.items()})
+            assert [back[n] for n in numbers] == [names[n] for n in expected]
