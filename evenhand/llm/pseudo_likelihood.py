@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -187,9 +188,11 @@ def _numbers(texts: pa.Array, words: Words) -> list[np.ndarray]:
     looked up once."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     found = lists.flatten().dictionary_encode()
-    different = found.dictionary.cast(pa.binary()).to_pylist()
-    words.learn([w for w in different if w and w not in words])
-    places = np.array([words.get(w, -1) for w in different], np.int32)  # -1 for the empty word
+    different = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    places = np.fromiter(map(words.get, different, repeat(-1)), np.int32, len(different))
+    new = [i for i in np.flatnonzero(places < 0).tolist() if different[i]]  # the empty word keeps -1
+    places[new] = np.arange(len(words), len(words) + len(new))
+    words.learn([different[i] for i in new])
     numbers = places[found.indices.to_numpy()]
     ends = lists.offsets.to_numpy()
     full = numbers >= 0  # cutting leaves empty words at blank ends
