@@ -5,9 +5,10 @@ gets more than `cap` times its own words, the excess goes to the others by weigh
 
 Curriculum: training time runs from 0 to 1. Source s is drawn at the rate
 w_s(t) = target_s (1 + tilt_s (1 - 2 t)); its integral, the cumulative demand
-C_s(t) = target_s (t + tilt_s (t - t^2)), reaches target_s at 1. A document's place in the demand
-of its source (documents in hash order, pass after pass) is inverted, t = C_s^-1(u), and
-documents are range-sorted by t.
+C_s(t) = target_s (t + tilt_s (t - t^2)), reaches target_s at 1. Every draw of a document, one for
+each pass over its source (documents in hash order, pass after pass), has a place in the demand of
+its source, which is inverted, t = C_s^-1(u); draws, or documents by their first draw, are
+range-sorted by t. What the mix takes of a document is what its draws take.
 
 All of it is DataFrame work. The running sums inside a source go by hash slices: sums of slices
 first, then inside each slice, so a source with most rows burdens no task.
@@ -64,7 +65,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, tilts=TILTS, share: float = SHARE
     return rows.select("source", "source_size", F.coalesce(target, F.col("most")).alias("target"), "tilt")
 
 
-def mix(
+def _drawn(
     docs: DataFrame,
     id: str = "doc_id",
     text: str = "text",
@@ -75,14 +76,8 @@ def mix(
     share: float = SHARE,
     cap: float = CAP,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position (of its first
-    pass, null if not taken), passes, then a struct `row` of the columns `keep`.
-
-    A source's words are taken pass by pass in the order of a hash of id and text; the last pass
-    ends inside a document, of which the rest is not taken. Null sources form one source, the
-    last; null texts have no words and are never taken. Equal rows are interchangeable. An empty
-    table gives no rows.
-    """
+    """One row per document: doc_id, size, source_size, target, its hash `order`, `draws` (an array of
+    pass, words, position), then a struct `row` of the columns `keep`."""
     rows = docs.select(
         F.col(id).alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("z")).alias("source"),
@@ -109,31 +104,52 @@ def mix(
     full = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     last = F.round(F.col("target")).cast("long") - full * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), last - F.col("start")))
-    found = found.withColumns({"taken": full * F.col("size") + last, "passes": full + (last > 0).cast("long")})
+    found = found.withColumns({"full": full, "last": last})
+    passes = F.when(F.col("size") > 0, F.col("full") + (F.col("last") > 0).cast("long")).otherwise(F.lit(0))
     # C(t) = u  <=>  tilt t^2 - (1 + tilt) t + u / target = 0, the root in [0, 1]
-    u = F.col("start") / F.col("target")
     slope = 1 + F.col("tilt")
-    inverse = 2 * u / (slope + F.sqrt(F.greatest(F.lit(0.0), slope * slope - 4 * F.col("tilt") * u)))
-    position = F.when((F.col("taken") > 0) & (F.col("target") > 0), inverse)
+
+    def draw(place: Column) -> Column:
+        u = (F.col("start") + place * F.col("source_size")) / F.col("target")
+        inverse = 2 * u / (slope + F.sqrt(F.greatest(F.lit(0.0), slope * slope - 4 * F.col("tilt") * u)))
+        words = F.when(place < F.col("full"), F.col("size")).otherwise(F.col("last"))
+        return F.struct(place.alias("pass"), words.alias("words"), inverse.alias("position"))
+
+    places = F.filter(F.sequence(F.lit(0).cast("long"), passes), lambda place: place < passes)
     extra = ["row"] if keep else []
-    found = found.withColumn("position", position).withColumn(
-        "passes", F.when(F.col("taken") > 0, F.col("passes")).otherwise(0)
+    return found.select("doc_id", "size", "source_size", "target", "order", F.transform(places, draw).alias("draws"), *extra)
+
+
+def mix(docs: DataFrame, keep: Sequence[str] = (), **options) -> DataFrame:
+    """One row per document, range-sorted by its first draw's training position, documents not taken
+    last: doc_id, size, source_size, target, taken, position (of its first pass, null if not taken),
+    passes, `draws` (pass, words, position of every pass over it), then a struct `row` of the columns
+    `keep`. Options name the columns id, text and source, and give weights, tilts, share and cap.
+
+    A source's words are taken pass by pass in the order of a hash of id and text; the last pass
+    ends inside a document, of which the rest is not taken. Null sources form one source, the
+    last; null texts have no words and are never taken. Equal rows are interchangeable. An empty
+    table gives no rows.
+    """
+    found = _drawn(docs, keep=keep, **options).withColumns(
+        {
+            "taken": F.aggregate("draws", F.lit(0).cast("long"), lambda words, d: words + d["words"]),
+            "position": F.get("draws", F.lit(0))["position"],
+            "passes": F.size("draws").cast("long"),
+        }
     )
-    return found.select(
-        "doc_id", "size", "source_size", "target", "taken", "position", "passes", "start", "tilt", *extra
+    extra = ["row"] if keep else []
+    return found.orderBy(F.asc_nulls_last("position"), "order").select(
+        "doc_id", "size", "source_size", "target", "taken", "position", "passes", "draws", *extra
     )
 
 
 def training_order(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The columns of `docs`: a row for every pass over a taken document, range-sorted by the
     training position of that pass."""
-    found = mix(docs, text=text, keep=docs.columns, **options).filter("taken > 0")
-    place = F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))
-    found = found.select("row", "start", "source_size", "target", "tilt", place.alias("pass"))
-    u = (F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target")
-    slope = 1 + F.col("tilt")
-    t = 2 * u / (slope + F.sqrt(F.greatest(F.lit(0.0), slope * slope - 4 * F.col("tilt") * u)))
-    return found.withColumn("position", t).orderBy("position").select("row.*")
+    found = _drawn(docs, text=text, keep=docs.columns, **options)
+    found = found.select("row", "order", F.explode("draws").alias("draw"))
+    return found.orderBy("draw.position", "order").select("row.*")
 
 
 ORACLE = f"""

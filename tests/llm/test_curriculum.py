@@ -56,3 +56,26 @@ def test_training_order_repeats_and_sorts(odd_docs, no_docs):
     ordered = curriculum.training_order(odd_docs)
     assert ordered.columns == odd_docs.columns and ordered.count() == passes
     assert curriculum.training_order(no_docs).count() == 0
+
+
+def test_every_pass_is_inverted_and_documents_are_range_sorted(spark):
+    """Two passes over every source: all draws of a document lie on the schedule, not the first only."""
+    rows = [(i, "w " * (i % 7), s) for s in ("a", "b", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = curriculum.mix(df, share=2.0, keep=["source"]).collect()
+    tilt = {"a": 0.5, "b": 0.0, None: -0.5}
+    places = {s: set() for s in tilt}
+    for r in found:
+        assert [(d["pass"], d["words"]) for d in r.draws] == ([(0, r.size), (1, r.size)] if r.size else [])
+        assert r.taken == sum(d["words"] for d in r.draws) and r.passes == len(r.draws)
+        for d in r.draws:
+            t, k = d["position"], tilt[r.row.source]
+            places[r.row.source].add((round(r.target * (t + k * (t - t * t)), 6), d["words"]))
+    for drawn in places.values():  # draws follow each other without a gap, up to the target
+        at = 0
+        for start, words in sorted(drawn):
+            assert abs(start - at) < 1e-5
+            at += words
+        assert abs(at - found[0].target) < 1e-6
+    positions = [r.position for r in found if r.position is not None]
+    assert positions == sorted(positions) and [r.position for r in found[len(positions):]] == [None] * sum(not r.size for r in found)
