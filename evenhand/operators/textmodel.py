@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
 from evenhand.functions.text import model_terms_sql, stable_hash, term_runs
-from evenhand.functions.unnest import inline_rows
+from evenhand.functions.unnest import explode_rows, inline_rows
 from evenhand.operators import ranks
 from evenhand.sources.shared import checkpointed
 
@@ -51,7 +51,9 @@ def split(df: DataFrame, key: str = "id", seed: int = fv.SPLIT_SEED) -> tuple[Da
 def _summary(batches: Iterable[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
     """(term, tf, df) of a task's documents with bounded memory, and one row without a term that has
     the error in tf: Misra-Gries summaries. Beyond twice `counters` terms the count of the
-    term at place `counters` is taken off all, and terms with nothing left are forgotten."""
+    term at place `counters` is taken off all, and terms with nothing left are forgotten. The first
+    column holds a run, or a list of runs, in each row; with single runs a batch's size does not
+    depend on the documents'."""
     held, waiting, error = [], 0, 0
     names = ["term", "tf", "df"]
 
@@ -60,7 +62,9 @@ def _summary(batches: Iterable[pa.RecordBatch], counters: int) -> Iterator[pa.Re
         return sums.select(["term", "tf_sum", "df_sum"]).rename_columns(names)
 
     for batch in batches:
-        runs = batch.column(0).flatten()
+        runs = batch.column(0)
+        if pa.types.is_list(runs.type):
+            runs = runs.flatten()
         held.append(pa.table([runs.field("term"), runs.field("cnt"), np.ones(len(runs), np.int64)], names=names))
         waiting += len(runs)
         if waiting > 2 * counters:
@@ -93,8 +97,10 @@ def vocabulary(
     candidates of all others.
     """
     runs = docs.select(term_runs(F.expr(model_terms_sql(text))).alias("runs"))
+    # A batch has so many rows, so rows are single runs: those of 10,000 documents fill a worker.
+    single = explode_rows(runs, [], F.col("runs"), "run")
     parts = checkpointed(
-        runs.mapInArrow(lambda batches: _summary(batches, counters), "term string, tf long, df long")
+        single.mapInArrow(lambda batches: _summary(batches, counters), "term string, tf long, df long")
     )
     error = parts.filter("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("error")).first()["error"]
     sums = [F.sum("tf").alias("tf"), F.sum("df").alias("df")]

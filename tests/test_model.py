@@ -184,3 +184,23 @@ def test_closed_form_pipeline_and_positions(train):
     assert [r["feature"] for r in rows[:3]] == [f for _, f in ordered[:3]]
     ties = train.sparkSession.createDataFrame([("b", 0.1), ("a", 0.1 + 1e-13), ("c", 0.3)], "feature string, coef double")
     assert [r["feature"] for r in textmodel.extreme_coefficients(ties, 3).collect()] == ["c", "a", "b", "a", "b", "c"]
+
+
+def test_summaries_get_single_runs(spark, monkeypatch):
+    """However long the documents are, a batch holds so many runs as Spark puts rows into one."""
+
+    def summary(batches, counters):
+        import pyarrow as pa
+
+        for batch in batches:
+            held = batch.column(0)
+            n = len(held.flatten() if pa.types.is_list(held.type) else held)
+            assert n <= 10_000, f"{n} runs at once"
+            yield from textmodel_summary([batch], counters)
+
+    textmodel_summary = textmodel._summary
+    monkeypatch.setattr(textmodel, "_summary", summary)
+    texts = [" ".join(f"d{d % 20}w{i}" for i in range(400)) for d in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, comment_text string").coalesce(1)
+    found = textmodel.vocabulary(docs, max_features=50_000)
+    assert found.count() == 20 * (400 + 399) and {(r["tf"], r["df"]) for r in found.collect()} == {(2, 2)}
