@@ -148,8 +148,8 @@ def training_order(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The columns of `docs`: a row for every pass over a taken document, range-sorted by the
     training position of that pass."""
     found = _drawn(docs, text=text, keep=docs.columns, **options)
-    found = found.select("row", "order", F.explode("draws").alias("draw"))
-    return found.orderBy("draw.position", "order").select("row.*")
+    found = found.select("row", F.explode("draws").alias("draw"))
+    return found.orderBy("draw.position").select("row.*")
 
 
 ORACLE = f"""
