@@ -36,6 +36,8 @@ LISTED_TERMS = 1_000_000  # candidates that every task gets a list of
 FAN_IN = 32  # pieces of a block that one task adds
 TIE_DIGITS = 9
 DENSE_FEATURES = 1_000  # features whose matrix of products fits the driver
+ENTRIES = 250_000  # entries of rows that a solver's task handles at once
+DENSE_ROWS = 2_000  # rows that a task writes out as a dense matrix at once
 
 
 def in_test(key: Column, seed: int = fv.SPLIT_SEED) -> Column:
@@ -230,6 +232,57 @@ def _head(rows: DataFrame) -> tuple[int, float, int]:
     return head["n"], head["mean"], head["parts"]
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (indices, values, label) as blocks of at most ENTRIES entries (or one row): n, label_sum and
+    the arrays lengths, indices, values, labels as bytes. A pass copies them and converts nothing, and
+    what a task holds at once does not depend on the rows' or the batches' sizes."""
+
+    def blocks(batches):
+        for batch in batches:
+            offsets, labels = batch.column(0).offsets.to_numpy(), batch.column(2).to_numpy()
+            indices, values = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+            offsets, start = offsets - offsets[0], 0
+            while start < len(labels):
+                end = int(np.searchsorted(offsets, offsets[start] + ENTRIES, side="right")) - 1
+                end = min(max(end, start + 1), len(labels), start + ENTRIES)
+                own = slice(offsets[start], offsets[end])
+                arrays = [
+                    np.diff(offsets[start : end + 1]).astype(np.int32),
+                    indices[own].astype(np.int32),
+                    values[own].astype(np.float64),
+                    labels[start:end].astype(np.float64),
+                ]
+                columns = [pa.array([end - start]), pa.array([float(labels[start:end].sum())])]
+                columns += [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+                yield pa.RecordBatch.from_arrays(columns, ["n", "label_sum", "lengths", "indices", "values", "labels"])
+                start = end
+
+    return rows.mapInArrow(
+        blocks, "n long, label_sum double, lengths binary, indices binary, values binary, labels binary"
+    )
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, index, value) of the entries of every packed block, and the labels."""
+    kinds = {"lengths": np.int32, "indices": np.int32, "values": np.float64, "labels": np.float64}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lengths, indices, values, labels = (
+                np.frombuffer(batch[name][i].as_buffer(), kind) for name, kind in kinds.items()
+            )
+            yield np.repeat(np.arange(len(lengths)), lengths), indices, values, labels
+
+
+def _packed_head(blocks: DataFrame) -> tuple[int, float, int]:
+    """Number of rows, mean label, number of partitions of packed rows."""
+    placed = blocks.select("n", "label_sum", F.spark_partition_id().alias("part"))
+    sums = [F.sum("n").alias("n"), F.sum("label_sum").alias("labels"), (F.max("part") + 1).alias("parts")]
+    head = placed.agg(*sums).first()
+    if not head["n"]:
+        raise ValueError("no rows to fit a model to")
+    return head["n"], head["labels"] / head["n"], head["parts"]
+
+
 def ridge(
     rows: DataFrame,
     n_features: int,
@@ -240,20 +293,29 @@ def ridge(
     """Coefficients and intercept of least squares plus alpha times the squared norm.
 
     ``rows`` holds (indices, values, label). The centred normal equations are solved by conjugate
-    gradients, preconditioned with their diagonal: each step is one pass over the rows that
+    gradients, preconditioned with their diagonal: each step is one pass over the packed rows that
     multiplies by the matrix and its transpose inside the tasks; partial vectors are added in a tree
     (``total``). Only vectors of ``n_features`` numbers reach the driver. (LinearRegression works on
     scaled features, where many rare terms make the same problem so badly conditioned that it is
     far from the minimum after hundreds of steps.) Without convergence it fails. The number of
-    passes does not depend on the number of rows or tasks.
+    passes does not depend on the number of tasks, but it grows with the rows.
     """
-    n, mean, n_parts = _head(rows)
+    blocks = packed(rows).persist()
+    try:
+        return _conjugate_gradients(blocks, n_features, alpha, tolerance, max_iterations)
+    finally:
+        blocks.unpersist()
+
+
+def _conjugate_gradients(
+    blocks: DataFrame, n_features: int, alpha: float, tolerance: float, max_iterations: int
+) -> Solution:
+    n, mean, n_parts = _packed_head(blocks)
 
     def first_sums(batches):
         """X'1, X'label and the squares of every feature."""
         sums = np.zeros((3, n_features))
-        for batch in batches:
-            row, indices, values, labels = _row_lists(batch)
+        for row, indices, values, labels in _blocks(batches):
             for out, weights in zip(sums, (values, values * labels[row], values * values)):
                 out += np.bincount(indices, weights, minlength=n_features)
         return sums.ravel()
@@ -263,15 +325,14 @@ def ridge(
 
         def partial(batches):
             sums = np.zeros(n_features)
-            for batch in batches:
-                row, indices, values, labels = _row_lists(batch)
+            for row, indices, values, labels in _blocks(batches):
                 image = np.bincount(row, values * direction[indices], minlength=len(labels))
                 sums += np.bincount(indices, values * image[row], minlength=n_features)
             return sums
 
-        return total(rows, n_parts, n_features, partial)
+        return total(blocks, n_parts, n_features, partial)
 
-    column_sums, label_products, squares = total(rows, n_parts, 3 * n_features, first_sums).reshape(3, -1)
+    column_sums, label_products, squares = total(blocks, n_parts, 3 * n_features, first_sums).reshape(3, -1)
     means = column_sums / n
     diagonal = squares - column_sums * means + alpha
     residual = label_products - column_sums * mean
@@ -302,20 +363,26 @@ def normal_equations(rows: DataFrame, n_features: int, alpha: float = fv.RIDGE_A
     (``total``) and solved on the driver, so more than DENSE_FEATURES features are refused."""
     if n_features > DENSE_FEATURES:
         raise ValueError(f"{n_features} features make too large a matrix: use ridge()")
-    n, mean, n_parts = _head(rows)
-    size = n_features + 2  # the features, a column of ones, the label
-
-    def products(batches):
-        sums = np.zeros((size, size))
-        for batch in batches:
-            row, indices, values, labels = _row_lists(batch)
-            dense = np.zeros((len(labels), size))
-            dense[row, indices] = values
-            dense[:, -2], dense[:, -1] = 1.0, labels
-            sums += dense.T @ dense
-        return sums.ravel()
-
-    sums = total(rows, n_parts, size * size, products).reshape(size, size)
+    blocks = packed(rows).persist()
+    try:
+        n, mean, n_parts = _packed_head(blocks)
+        size = n_features + 2  # the features, a column of ones, the label
+
+        def products(batches):
+            sums = np.zeros((size, size))
+            for row, indices, values, labels in _blocks(batches):
+                for start in range(0, len(labels), DENSE_ROWS):
+                    end = min(start + DENSE_ROWS, len(labels))
+                    own = slice(*np.searchsorted(row, [start, end]))
+                    dense = np.zeros((end - start, size))
+                    dense[row[own] - start, indices[own]] = values[own]
+                    dense[:, -2], dense[:, -1] = 1.0, labels[start:end]
+                    sums += dense.T @ dense
+            return sums.ravel()
+
+        sums = total(blocks, n_parts, size * size, products).reshape(size, size)
+    finally:
+        blocks.unpersist()
     means = sums[:-2, -2] / n
     matrix = sums[:-2, :-2] - n * np.outer(means, means) + alpha * np.eye(n_features)
     coefs = np.linalg.solve(matrix, sums[:-2, -1] - n * means * mean)
@@ -355,11 +422,9 @@ def fit(
             features["values"].alias("values"),
             F.col(label).cast("double").alias("label"),
         )
-        .persist()
     )
     solve = normal_equations if closed_form else ridge
     coefs, intercept, _ = solve(rows, len(counter.vocabulary), alpha)
-    rows.unpersist()
     return PipelineModel([*stages, linear_model(coefs, intercept)])
 
 

@@ -204,3 +204,15 @@ def test_summaries_get_single_runs(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, comment_text string").coalesce(1)
     found = textmodel.vocabulary(docs, max_features=50_000)
     assert found.count() == 20 * (400 + 399) and {(r["tf"], r["df"]) for r in found.collect()} == {(2, 2)}
+
+
+def test_solvers_work_on_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(textmodel, "ENTRIES", 12)
+    monkeypatch.setattr(textmodel, "DENSE_ROWS", 2)
+    rows, dense, labels = sparse_rows(spark, 150, 120, 3)
+    blocks = textmodel.packed(rows)
+    found = blocks.select(F.sum("n"), F.sum("label_sum"), F.max(F.length("values") / 8), F.count("*")).first()
+    assert found[0] == 150 and found[1] == pytest.approx(labels.sum()) and found[2] <= 12 and found[3] > 20
+    w, b = closed_form(dense, labels, 1.0)
+    for solution in (textmodel.normal_equations(rows, 120), textmodel.ridge(rows, 120, tolerance=1e-12)):
+        assert solution.coefs == pytest.approx(w, abs=1e-9) and solution.intercept == pytest.approx(b, abs=1e-9)
