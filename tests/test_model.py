@@ -216,3 +216,33 @@ def test_solvers_work_on_bounded_blocks(spark, monkeypatch):
     w, b = closed_form(dense, labels, 1.0)
     for solution in (textmodel.normal_equations(rows, 120), textmodel.ridge(rows, 120, tolerance=1e-12)):
         assert solution.coefs == pytest.approx(w, abs=1e-9) and solution.intercept == pytest.approx(b, abs=1e-9)
+
+
+def test_ridge_does_not_repeat_steps(spark):
+    """24 unknowns take 24 steps, however far the eigenvalues lie apart; rounding errors made it 132."""
+    rng = np.random.default_rng(4)
+    mix = rng.random((4, 24)) * 10.0 ** np.array([2, 1, 0, -1])[:, None]
+    x = rng.random((90, 4)) @ mix + 10.0 ** -rng.integers(0, 4, 24) * rng.random((90, 24))
+    y = rng.random(90)
+    data = [(list(range(24)), row.tolist(), float(label)) for row, label in zip(x, y)]
+    rows = spark.createDataFrame(data, "indices array<int>, values array<double>, label double").repartition(3)
+    found = textmodel.ridge(rows, 24, alpha=1e-3, tolerance=1e-9)
+    w, b = closed_form(x, y, 1e-3)
+    assert found.passes <= 28
+    assert found.coefs == pytest.approx(w, abs=1e-5) and found.intercept == pytest.approx(b, abs=1e-4)
+
+
+def test_solver_passes_take_as_many_tasks_as_cores_need(spark, monkeypatch):
+    """Partitions beyond that are read together, some of them empty, and no row is lost."""
+    seen, total = [], textmodel.total
+
+    def counted(rows, n_parts, width, partial):
+        seen.append((n_parts, rows.rdd.getNumPartitions()))
+        return total(rows, n_parts, width, partial)
+
+    monkeypatch.setattr(textmodel, "total", counted)
+    monkeypatch.setattr(textmodel, "TASKS_PER_CORE", 1)
+    rows, dense, labels = sparse_rows(spark, 60, 18, 90)
+    found = textmodel.ridge(rows, 18, tolerance=1e-12)
+    assert found.coefs == pytest.approx(closed_form(dense, labels, 1.0)[0], abs=1e-9)
+    assert set(seen) == {(4, 4)}
