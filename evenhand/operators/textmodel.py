@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizer,
@@ -39,6 +39,7 @@ DENSE_FEATURES = 1_000  # features whose matrix of products fits the driver
 ENTRIES = 250_000  # entries of rows that a solver's task handles at once
 DENSE_ROWS = 2_000  # rows that a task writes out as a dense matrix at once
 TASKS_PER_CORE = 2  # of a solver's pass
+KINDS = {"lengths": np.int32, "indices": np.int32, "values": np.float64, "labels": np.float64}
 KEPT_NUMBERS = 5_000_000  # of earlier residuals that the driver keeps
 
 
@@ -266,11 +267,10 @@ def packed(rows: DataFrame) -> DataFrame:
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(length) of the rows of every packed block, (index, value) of their entries, and the labels."""
-    kinds = {"lengths": np.int32, "indices": np.int32, "values": np.float64, "labels": np.float64}
     for batch in batches:
         for i in range(batch.num_rows):
             lengths, indices, values, labels = (
-                np.frombuffer(batch[name][i].as_buffer(), kind) for name, kind in kinds.items()
+                np.frombuffer(batch[name][i].as_buffer(), kind) for name, kind in KINDS.items()
             )
             yield lengths, indices.astype(np.intp), values, labels
 
@@ -305,7 +305,7 @@ def ridge(
     ``rows`` holds (indices, values, label). The centred normal equations are solved by conjugate
     gradients, preconditioned with their diagonal: each step is one pass over the packed rows that
     multiplies by the matrix and its transpose inside the tasks; partial vectors are added in a tree
-    (``total``). Only vectors of ``n_features`` numbers reach the driver. (LinearRegression works on
+    (``_added``). Only vectors of ``n_features`` numbers reach the driver. (LinearRegression works on
     scaled features, where many rare terms make the same problem so badly conditioned that it is
     far from the minimum after hundreds of steps.) The driver keeps the first residuals, at most
     KEPT_NUMBERS numbers, and makes each later one orthogonal to them: rounding errors would bring the
@@ -313,35 +313,63 @@ def ridge(
     convergence it fails. The number of passes does not depend on the number of tasks; it grows
     slowly with the rows.
     """
-    blocks = packed(rows).persist()
+
+    def arrays(packed_rows):
+        for row in packed_rows:
+            yield tuple(np.frombuffer(row[name], kind) for name, kind in KINDS.items())
+
+    # Python objects in the cache: a pass reads them two to three times as fast as through Arrow batches.
+    blocks = packed(rows).rdd.mapPartitions(arrays).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _conjugate_gradients(blocks, n_features, alpha, tolerance, max_iterations)
     finally:
         blocks.unpersist()
 
 
+def _added(blocks: RDD, partial: Callable[[Iterable[tuple]], np.ndarray]) -> np.ndarray:
+    """Sum over all partitions of the vector that ``partial`` makes of each, in a tree: a task or the
+    driver gets at most FAN_IN vectors at once. In the order of the leaves, as in ``total``."""
+
+    def leaf(place, own):
+        yield place, partial(own)
+
+    def in_order(vectors):
+        return sum(vector for _, vector in sorted(vectors, key=lambda v: v[0]))
+
+    parts, n_parts = blocks.mapPartitionsWithIndex(leaf), blocks.getNumPartitions()
+    while n_parts > FAN_IN:
+        n_parts = -(-n_parts // FAN_IN)
+        parts = parts.keyBy(lambda v: v[0] // FAN_IN).groupByKey(n_parts).mapValues(in_order)
+    return in_order(parts.collect())
+
+
 def _conjugate_gradients(
-    blocks: DataFrame, n_features: int, alpha: float, tolerance: float, max_iterations: int
+    blocks: RDD, n_features: int, alpha: float, tolerance: float, max_iterations: int
 ) -> Solution:
-    n, mean, n_parts = _packed_head(blocks)
+    n, label_sum = blocks.map(lambda block: (len(block[3]), float(block[3].sum()))).fold(
+        (0, 0.0), lambda a, b: (a[0] + b[0], a[1] + b[1])
+    )
+    if not n:
+        raise ValueError("no rows to fit a model to")
+    mean = label_sum / n
     # A pass is short: its tasks and partial vectors are as many as the cores need, not as the files' pieces.
-    n_parts = min(n_parts, TASKS_PER_CORE * blocks.sparkSession.sparkContext.defaultParallelism)
-    blocks = blocks.coalesce(n_parts)
+    blocks = blocks.coalesce(TASKS_PER_CORE * blocks.context.defaultParallelism)
 
-    def first_sums(batches):
+    def first_sums(own):
         """X'1, X'label and the squares of every feature."""
         sums = np.zeros((3, n_features))
-        for lengths, indices, values, labels in _blocks(batches):
+        for lengths, indices, values, labels in own:
             for out, weights in zip(sums, (values, values * np.repeat(labels, lengths), values * values)):
                 out += np.bincount(indices, weights, minlength=n_features)
-        return sums.ravel()
+        return sums
 
     def product(direction: np.ndarray):
         """X'(X direction)"""
 
-        def partial(batches):
+        def partial(own):
             sums = np.zeros(n_features)
-            for lengths, indices, values, _ in _blocks(batches):
+            for lengths, indices, values, _ in own:
+                indices = indices.astype(np.intp)
                 weights = direction.take(indices)
                 weights *= values
                 image = _row_sums(weights, lengths)
@@ -349,9 +377,9 @@ def _conjugate_gradients(
                 sums += np.bincount(indices, weights, minlength=n_features)
             return sums
 
-        return total(blocks, n_parts, n_features, partial)
+        return _added(blocks, partial)
 
-    column_sums, label_products, squares = total(blocks, n_parts, 3 * n_features, first_sums).reshape(3, -1)
+    column_sums, label_products, squares = _added(blocks, first_sums)
     means = column_sums / n
     diagonal = squares - column_sums * means + alpha
     residual = label_products - column_sums * mean

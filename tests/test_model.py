@@ -234,15 +234,18 @@ def test_ridge_does_not_repeat_steps(spark):
 
 def test_solver_passes_take_as_many_tasks_as_cores_need(spark, monkeypatch):
     """Partitions beyond that are read together, some of them empty, and no row is lost."""
-    seen, total = [], textmodel.total
-
-    def counted(rows, n_parts, width, partial):
-        seen.append((n_parts, rows.rdd.getNumPartitions()))
-        return total(rows, n_parts, width, partial)
-
-    monkeypatch.setattr(textmodel, "total", counted)
-    monkeypatch.setattr(textmodel, "TASKS_PER_CORE", 1)
-    rows, dense, labels = sparse_rows(spark, 60, 18, 90)
-    found = textmodel.ridge(rows, 18, tolerance=1e-12)
-    assert found.coefs == pytest.approx(closed_form(dense, labels, 1.0)[0], abs=1e-9)
-    assert set(seen) == {(4, 4)}
+    seen, added = [], textmodel._added
+
+    def counted(blocks, partial):
+        seen.append(blocks.getNumPartitions())
+        return added(blocks, partial)
+
+    monkeypatch.setattr(textmodel, "_added", counted)
+    rows, dense, labels = sparse_rows(spark, 60, 18, 30)
+    for per_core, fan_in in ((1, 32), (3, 2)):  # 4 tasks; 12 and a tree of several levels
+        monkeypatch.setattr(textmodel, "TASKS_PER_CORE", per_core)
+        monkeypatch.setattr(textmodel, "FAN_IN", fan_in)
+        found = textmodel.ridge(rows, 18, tolerance=1e-12)
+        assert found.coefs == pytest.approx(closed_form(dense, labels, 1.0)[0], abs=1e-9)
+        assert set(seen) == {4 * per_core}
+        seen.clear()
