@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
@@ -24,14 +25,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand import fixed_values as fv
-from evenhand.functions.text import model_terms_sql, stable_hash, term_runs
-from evenhand.functions.unnest import explode_rows, inline_rows
+from evenhand.functions.text import model_terms_sql, model_tokens, stable_hash
+from evenhand.functions.unnest import inline_rows
 from evenhand.operators import ranks
 from evenhand.sources.shared import checkpointed
 
 LOG = logging.getLogger(__name__)
 BLOCK = 4_096  # numbers of a partial vector that travel together
 COUNTERS = 500_000  # terms of a task's summary, at most four times as many
+WORDS = 250_000  # tokens that a task counts at once
+RUNS = 10_000  # counts that a task adds to its summary at once
 LISTED_TERMS = 1_000_000  # candidates that every task gets a list of
 FAN_IN = 32  # pieces of a block that one task adds
 TIE_DIGITS = 9
@@ -53,12 +56,57 @@ def split(df: DataFrame, key: str = "id", seed: int = fv.SPLIT_SEED) -> tuple[Da
     return df.filter(~test), df.filter(test)
 
 
+def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """(term, tf, df) of the unigrams and bigrams of some documents after others, whose tokens the first
+    column holds: WORDS tokens at once, or one document. Terms are counted as numbers, by sorting
+    (token), (token, token) and (document, term) codes; a string is made of every term once."""
+    for batch in batches:
+        lists = batch.column(0).drop_null()
+        offsets, tokens, start = lists.offsets.to_numpy(), lists.flatten(), 0
+        offsets = (offsets - offsets[0]).astype(np.int64)
+        while start < len(lists):
+            end = int(np.searchsorted(offsets, offsets[start] + WORDS, side="right")) - 1
+            end = min(max(end, start + 1), len(lists))
+            coded = tokens.slice(offsets[start], offsets[end] - offsets[start]).dictionary_encode()
+            words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(end - start), np.diff(offsets[start : end + 1]))
+            start, n_words = end, len(words)
+            if not n_words:
+                continue
+            together = row[1:] == row[:-1]
+            pairs = (codes[:-1] * n_words + codes[1:])[together] + n_words
+            terms, rows = np.concatenate([codes, pairs]), np.concatenate([row, row[1:][together]])
+            each = n_words * (n_words + 1)
+            in_rows = _counted(rows * each + terms)[0] % each
+            (found, tf), (_, df) = _counted(terms), _counted(in_rows)
+            n_single = int(np.searchsorted(found, n_words))
+            first, second = np.divmod(found[n_single:] - n_words, n_words)
+            names = [words.take(pa.array(x)) for x in (found[:n_single], first, second)]
+            names = pa.concat_arrays([names[0], pc.binary_join_element_wise(names[1], names[2], " ")])
+            yield pa.table([names, tf, df], names=["term", "tf", "df"])
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs."""
+    values = np.sort(values)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[starts], np.diff(starts, append=len(values))
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts as runs (term, cnt, df) for a summary, RUNS at once."""
+    for counts in _term_counts(batches):
+        for batch in counts.combine_chunks().to_batches(max_chunksize=RUNS):
+            runs = pa.StructArray.from_arrays(batch.columns, ["term", "cnt", "df"])
+            yield pa.RecordBatch.from_arrays([runs], ["run"])
+
+
 def _summary(batches: Iterable[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
     """(term, tf, df) of a task's documents with bounded memory, and one row without a term that has
     the error in tf: Misra-Gries summaries. Beyond twice `counters` terms the count of the
     term at place `counters` is taken off all, and terms with nothing left are forgotten. The first
     column holds a run, or a list of runs, in each row; with single runs a batch's size does not
-    depend on the documents'."""
+    depend on the documents'. A run is of one document unless it says of how many (df)."""
     held, waiting, error = [], 0, 0
     names = ["term", "tf", "df"]
 
@@ -70,7 +118,9 @@ def _summary(batches: Iterable[pa.RecordBatch], counters: int) -> Iterator[pa.Re
         runs = batch.column(0)
         if pa.types.is_list(runs.type):
             runs = runs.flatten()
-        held.append(pa.table([runs.field("term"), runs.field("cnt"), np.ones(len(runs), np.int64)], names=names))
+        own = runs.type.get_field_index("df") >= 0
+        df = runs.field("df") if own else np.ones(len(runs), np.int64)
+        held.append(pa.table([runs.field("term"), runs.field("cnt"), df], names=names))
         waiting += len(runs)
         if waiting > 2 * counters:
             found = merged()
@@ -101,23 +151,24 @@ def vocabulary(
     by a search over ranks, then a filter keeps it and those before it; no task collects
     candidates of all others.
     """
-    runs = docs.select(term_runs(F.expr(model_terms_sql(text))).alias("runs"))
-    # A batch has so many rows, so rows are single runs: those of 10,000 documents fill a worker.
-    single = explode_rows(runs, [], F.col("runs"), "run")
-    parts = checkpointed(
-        single.mapInArrow(lambda batches: _summary(batches, counters), "term string, tf long, df long")
-    )
+    # Sorting each document's terms as strings in the JVM took most of the time.
+    tokens = docs.select(model_tokens(F.col(f"`{text}`")).alias("tokens"))
+    kind = "term string, tf long, df long"
+    parts = checkpointed(tokens.mapInArrow(lambda batches: _summary(_runs(batches), counters), kind))
     error = parts.filter("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("error")).first()["error"]
     sums = [F.sum("tf").alias("tf"), F.sum("df").alias("df")]
     counted = checkpointed(parts.filter("term is not null").groupBy("term").agg(*sums))
+    floor = _floor(counted, max_features)
     if error:
-        last = _last_term(counted, max_features)
-        every = inline_rows(runs, [], F.col("runs"), "term").select("term", F.col("cnt").alias("tf"), F.lit(1).alias("df"))
-        if last is not None and -last[0] > error:
-            possible = counted.filter(F.col("tf") + error >= -last[0]).select("term")
+        every = tokens.mapInArrow(lambda batches: (b for t in _term_counts(batches) for b in t.to_batches()), kind)
+        if floor is not None and floor > error:
+            possible = counted.filter(F.col("tf") + error >= floor).select("term")
             small = possible.count() <= LISTED_TERMS  # otherwise all terms meet them in a shuffle
             every = every.join(F.broadcast(possible) if small else possible, "term", "left_semi")
         counted = checkpointed(every.groupBy("term").agg(*sums))
+        floor = _floor(counted, max_features)
+    if floor is not None:  # the search reads its rows about ten times
+        counted = checkpointed(counted.filter(F.col("tf") >= floor))
     last = _last_term(counted, max_features)
     if last is not None:
         columns = ["fewer", "term"]
@@ -126,6 +177,16 @@ def vocabulary(
     return counted.select("term", "tf", "df").orderBy(F.desc("tf"), "term")
 
 
+def _floor(counted: DataFrame, max_features: int) -> int | None:
+    """The count at the vocabulary's last place; None if there are no more terms than places. The driver
+    gets the distinct counts, at most as many as the root of twice the tokens and pairs."""
+    counts = sorted(map(tuple, counted.groupBy("tf").count().collect()), reverse=True)
+    places = np.cumsum([n for _, n in counts])
+    if not counts or places[-1] <= max_features:
+        return None
+    return counts[int(np.searchsorted(places, max_features))][0]
+
+
 def _last_term(counted: DataFrame, max_features: int) -> tuple | None:
     """(-tf, term) at the vocabulary's last place; None if there are no more terms than places."""
     n_terms = counted.count()

@@ -249,3 +249,41 @@ def test_solver_passes_take_as_many_tasks_as_cores_need(spark, monkeypatch):
         assert found.coefs == pytest.approx(closed_form(dense, labels, 1.0)[0], abs=1e-9)
         assert set(seen) == {4 * per_core}
         seen.clear()
+
+
+@pytest.mark.parametrize("words_at_once", [1, 7, 250_000])
+def test_term_counts_equal_brute_force(monkeypatch, words_at_once):
+    """Repeated words, words of other scripts, no words, null; pairs never cross documents."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(textmodel, "WORDS", words_at_once)
+    docs = [["ab", "ab", "ab"], [], None, ["über"], ["ab", "über", "ab", "über"], ["x1", "_y"], ["ab", "ab"]]
+    whole = pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.string()))], ["tokens"])
+    tf, df = {}, {}
+    for d in docs[1:]:
+        own = (d or []) + [f"{a} {b}" for a, b in zip(d or [], (d or [])[1:])]
+        for x in own:
+            tf[x] = tf.get(x, 0) + 1
+        for x in set(own):
+            df[x] = df.get(x, 0) + 1
+    found = [r for t in textmodel._term_counts([whole.slice(1, 3), whole.slice(4), whole.slice(0, 0)]) for r in t.to_pylist()]
+    got = {t: tuple(sum(r[c] for r in found if r["term"] == t) for c in ("tf", "df")) for t in {r["term"] for r in found}}
+    assert got == {t: (tf[t], df[t]) for t in tf}
+    runs = [r for b in textmodel._runs([whole.slice(1)]) for r in b.column(0).to_pylist()]
+    assert {r["term"]: 0 for r in runs}.keys() == tf.keys() and sum(r["cnt"] for r in runs) == sum(tf.values())
+
+
+def test_rank_search_reads_terms_that_can_belong_only(spark, monkeypatch):
+    seen, last_term = [], textmodel._last_term
+
+    def counted(terms, max_features):
+        seen.append(terms.count())
+        return last_term(terms, max_features)
+
+    monkeypatch.setattr(textmodel, "_last_term", counted)
+    texts = [" ".join(f"w{i}" for i in range(k)) for k in range(1, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, comment_text string")
+    found = textmodel.vocabulary(docs, max_features=4).collect()
+    assert [(r["term"], r["tf"], r["df"]) for r in found] == [("w0", 39, 39), ("w0 w1", 38, 38), ("w1", 38, 38), ("w1 w2", 37, 37)]
+    assert seen == [5]  # of 77 terms: w2 has 37, too
+    assert textmodel.vocabulary(docs, max_features=77).count() == 77 == textmodel.vocabulary(docs, max_features=99).count()
