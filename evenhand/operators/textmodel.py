@@ -550,11 +550,11 @@ def optimality(
 ) -> DataFrame:
     """(largest_gradient, mean_residual, unit_vectors) of a fitted model on its training rows: the
     largest absolute entry of half the gradient of the penalised squares, the mean of prediction
-    minus label, and the share of vectors of length 1 among those that are not empty."""
+    minus label, and the share of vectors of length 1 among those that are not empty. The texts are read
+    once: a row also counts for the numbers -1 and, unless it is empty, -2 or (of length 1) -3."""
     linear = model.stages[-1]
-    weights = train.sparkSession.createDataFrame(
-        pa.table({"feature": np.arange(linear.numFeatures), "coef": linear.coefficients.toArray()})
-    )
+    coefs = np.concatenate([np.zeros(3), linear.coefficients.toArray()])
+    weights = train.sparkSession.createDataFrame(pa.table({"feature": np.arange(-3, linear.numFeatures), "coef": coefs}))
     features = F.unwrap_udt("features")
     rows = model.transform(train.filter(F.col(label).isNotNull())).select(
         features["indices"].alias("i"),
@@ -562,17 +562,26 @@ def optimality(
         (F.col("prediction") - F.col(label)).alias("residual"),
     )
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    unit = F.when(F.size("v") > 0, (F.abs(squares - 1) < 1e-9).cast("double"))
-    overall = rows.agg(F.avg("residual").alias("mean_residual"), F.avg(unit).alias("unit_vectors"))
+    unit = F.when(F.abs(squares - 1) < 1e-9, -3).otherwise(-2)
+    others = F.when(F.size("v") > 0, F.array(F.lit(-1), unit)).otherwise(F.array(F.lit(-1)))
+    entries = F.arrays_zip(F.concat("i", others).alias("i"), F.concat("v", F.array_repeat(F.lit(1.0), 2)).alias("v"))
     products = (
-        inline_rows(rows, ["residual"], F.arrays_zip("i", "v"), "i")
+        inline_rows(rows, ["residual"], entries, "i")
         .groupBy(F.col("i").cast("long").alias("feature"))
-        .agg(F.sum(F.col("v") * F.col("residual")).alias("product"))
+        .agg(F.sum(F.col("v") * F.col("residual")).alias("product"), F.count("*").alias("n"))
+    )
+    found = weights.join(products, "feature", "left").withColumns(
+        {"product": F.coalesce("product", F.lit(0.0)), "n": F.coalesce("n", F.lit(0))}
     )
-    gradient = weights.join(products, "feature", "left").agg(
-        F.max(F.abs(F.coalesce("product", F.lit(0.0)) + alpha * F.col("coef"))).alias("largest_gradient")
+
+    def of(number: int, column: str) -> Column:
+        return F.sum(F.when(F.col("feature") == number, F.col(column)).otherwise(0))
+
+    return found.agg(
+        F.try_divide(of(-1, "product"), of(-1, "n")).alias("mean_residual"),
+        F.try_divide(of(-3, "n"), of(-2, "n") + of(-3, "n")).alias("unit_vectors"),
+        F.max(F.when(F.col("feature") >= 0, F.abs(F.col("product") + alpha * F.col("coef")))).alias("largest_gradient"),
     )
-    return overall.withColumn("largest_gradient", gradient.scalar())
 
 
 def score(model: PipelineModel, sentences: DataFrame, column: str = "local_score") -> DataFrame:

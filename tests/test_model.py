@@ -287,3 +287,25 @@ def test_rank_search_reads_terms_that_can_belong_only(spark, monkeypatch):
     assert [(r["term"], r["tf"], r["df"]) for r in found] == [("w0", 39, 39), ("w0 w1", 38, 38), ("w1", 38, 38), ("w1 w2", 37, 37)]
     assert seen == [5]  # of 77 terms: w2 has 37, too
     assert textmodel.vocabulary(docs, max_features=77).count() == 77 == textmodel.vocabulary(docs, max_features=99).count()
+
+
+def test_optimality_reads_the_rows_once(train):
+    model = textmodel.fit(train, max_features=60)
+    extra = train.sparkSession.createDataFrame([(900, "nothing known", 0.7), (901, "", 0.1), (902, "w3", None)], train.schema)
+    rows, read = train.union(extra), train.sparkSession.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = textmodel.optimality(model, rows.mapInArrow(counted, rows.schema)).first()
+    assert read.value == 203
+    got = textmodel.score(model, rows.dropna()).collect()
+    assert found["mean_residual"] == pytest.approx(np.mean([r["local_score"] - r["target"] for r in got]))
+    x = np.array([r["features"].toArray() for r in PipelineModel(model.stages[:-1]).transform(rows.dropna()).collect()])
+    residual = np.array([r["local_score"] - r["target"] for r in got])
+    gradient = x.T @ residual + model.stages[-1].coefficients.toArray()
+    assert found["largest_gradient"] == pytest.approx(np.abs(gradient).max()) and found["unit_vectors"] == 1.0
+    doubled = textmodel.optimality(model, train.filter("id < 0")).first()
+    assert doubled["mean_residual"] is None and doubled["unit_vectors"] is None
